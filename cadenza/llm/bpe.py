@@ -2,8 +2,10 @@
 
 Byte-level pre-tokenisation never joins characters across a space that a non-space follows, so a
 text may be cut before each such space and the pieces encoded alone. Arrow splits and
-dictionary-encodes the pieces; the library encodes each distinct piece once. Texts with any other
-space, such as doubled or trailing ones, are cut only at the safe spaces.
+dictionary-encodes the pieces. Distinct pieces are cut once more where a mark follows a letter,
+which ends a pre-token too, and the library encodes each distinct part once. Texts with any other
+space, such as doubled or trailing ones, are cut only at the safe spaces, and no cut falls into a
+string that the tokenizer takes as one added token.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from cadenza.llm.arrowtext import encode_words, ragged_take
+from cadenza.llm.arrowtext import ragged_take
 
-#: Distinct pieces remembered between slices; a bound on memory only, results do not depend on it.
-MEMO = 500_000
+#: Distinct parts remembered between slices; a bound on memory only, results do not depend on it.
+MEMO = 400_000
+#: Text encoded at once: more means fewer look-ups of the same piece and more memory.
+SLICE_BYTES = 12 << 20
 _SAFE = re.compile(r"(?= \S)")
 _ODD = r" \s| $"
+_MARKS = ".,;:!?\n*%$#&"
 _loaded: dict[str, Encoder] = {}
 
 
@@ -31,66 +36,122 @@ def load(path: str) -> Encoder:
     return _loaded[path]
 
 
+class _Table:
+    """Strings with their ids; looked up in Arrow, so that Python sees new strings only."""
+
+    def __init__(self, encoder: Encoder, prefix: str) -> None:
+        self.encoder, self.prefix = encoder, prefix
+        self.keys = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, np.uint32)
+        self.begins = self.lengths = np.zeros(0, np.int64)
+        self.kept = 0
+
+    def rows(self, strings: pa.Array) -> np.ndarray:
+        """Rows of distinct strings, -1 for those the table lacks."""
+        if len(self.keys) > MEMO:  # forget what the last slice added beyond the bound
+            self.keys, self.ids = self.keys[: self.kept], self.ids[: self.begins[self.kept]]
+            self.begins, self.lengths = self.begins[: self.kept], self.lengths[: self.kept]
+        self.kept = len(self.keys)
+        return pc.fill_null(pc.index_in(strings, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, strings: list[str]) -> int:
+        """Encode new strings; the row of the first."""
+        first = len(self.keys)
+        if strings:
+            coded = self.encoder.tokenizer.encode([self.prefix + s for s in strings], is_pretokenized=True, add_special_tokens=False)
+            lengths = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(strings))
+            self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.ids = np.concatenate([self.ids, np.array(coded.ids, np.uint32)])
+            self.keys = pa.concat_arrays([self.keys, pa.array(strings, pa.large_string())])
+        return first
+
+    def find(self, strings: list[str]) -> np.ndarray:
+        """Rows of any strings, repeats included; new ones are added."""
+        place: dict[str, int] = {}
+        index = np.fromiter((place.setdefault(s, len(place)) for s in strings), np.int64, len(strings))
+        distinct = list(place)
+        at = self.rows(pa.array(distinct, pa.large_string()))
+        new = np.flatnonzero(at < 0)
+        at[new] = self.add([distinct[i] for i in new.tolist()]) + np.arange(len(new))
+        return at[index]
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.rows: dict[str, int] = {}
-        self.extra: list[str] = []
-        self.ids = np.zeros(0, np.uint32)
-        self.begins = self.lengths = np.zeros(0, np.int64)
+        added = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        if " " in added:
+            raise ValueError("added tokens with spaces are not supported")
+        marks = re.escape("".join(c for c in _MARKS if c not in added))
+        self.marks = re.compile(f"(?<=[^\\W\\d_])(?=[{marks}])")
+        self.spaced, self.bare = _Table(self, " "), _Table(self, "")
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         """Ids straight from the library, for comparison."""
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _rows(self, pieces: list[str]) -> np.ndarray:
-        """Table rows of the pieces; new ones are encoded in one call."""
-        if self.extra and len(self.rows) > MEMO:  # keep the first pieces met, forget the last slice's
-            kept = len(self.rows) - len(self.extra)
-            for p in self.extra:
-                del self.rows[p]
-            self.ids = self.ids[: self.begins[kept]]
-            self.begins, self.lengths = self.begins[:kept], self.lengths[:kept]
-        rows = self.rows
-        missing = [p for p in dict.fromkeys(pieces) if p not in rows]
-        self.extra = missing
-        if missing:
-            coded = self.tokenizer.encode(missing, is_pretokenized=True, add_special_tokens=False)
-            lengths = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(missing))
-            self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.array(coded.ids, np.uint32)])
-            rows.update(zip(missing, range(len(rows), len(rows) + len(missing)), strict=True))
-        return np.fromiter(map(rows.__getitem__, pieces), np.int64, len(pieces))
+    def _pieces(self, words: pa.Array, others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in order, how many each has) of distinct words after a space, then of other pieces."""
+        at = self.spaced.rows(words)
+        lacking = np.flatnonzero(at < 0)
+        heads, tails, owners = [], [], []
+        for n, word in enumerate(words.take(pa.array(lacking)).to_pylist()):
+            if word.isalpha():
+                heads.append(word)
+            else:
+                head, *rest = self.marks.split(" " + word)
+                heads.append(head[1:])
+                tails += rest
+                owners += [n] * len(rest)
+        # the tables drop strings only when asked for rows, so all of one slice's rows hold together
+        place: dict[str, int] = {}
+        index = np.fromiter((place.setdefault(h, len(place)) for h in heads), np.int64, len(heads))
+        distinct = list(place)
+        found = pc.fill_null(pc.index_in(pa.array(distinct, pa.large_string()), value_set=self.spaced.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        found[new] = self.spaced.add([distinct[i] for i in new.tolist()]) + np.arange(len(new))
+        at[lacking] = found[index]
+        more = self.bare.find(tails + others)
+        # one table behind the other; a piece is a run of parts
+        begins = np.concatenate([self.spaced.begins, len(self.spaced.ids) + self.bare.begins])
+        lengths = np.concatenate([self.spaced.lengths, self.bare.lengths])
+        ids = np.concatenate([self.spaced.ids, self.bare.ids])
+        more = more + len(self.spaced.lengths)
+        tail_owner = lacking[np.array(owners, np.int64)]
+        parts = np.concatenate([at, more])
+        owner = np.concatenate([np.arange(len(at)), tail_owner, len(at) + np.arange(len(others))])
+        parts = parts[np.argsort(owner, kind="stable")]
+        total = np.bincount(owner, weights=lengths[np.concatenate([at, more])], minlength=len(at) + len(others)).astype(np.int64)
+        return ids[ragged_take(begins[parts], lengths[parts])], total
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets by text) of a large-string array without nulls."""
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
-        codes, offsets, words = encode_words(pc.split_pattern(plain, " "))
+        pieces = pc.split_pattern(plain, " ")
+        offsets = pieces.offsets.to_numpy().astype(np.int64)
+        flat = pieces.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        codes, offsets, words = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets - offsets[0], flat.dictionary
         # a text's first piece has no space before it
         heads = offsets[:-1]
-        first = [words[c] for c in codes[heads].tolist()]
+        first = words.take(pa.array(codes[heads])).to_pylist()
         rows, extra = np.flatnonzero(odd), []
         for i in rows.tolist():
             extra.append(_SAFE.split(texts[i].as_py()))
-        pieces = [f" {w}" for w in words] + first + [p for parts in extra for p in parts]
-        codes = codes.copy()
+        others = first + [p for parts in extra for p in parts]
         codes[heads] = len(words) + np.arange(len(heads))
         if len(rows):
-            counts = np.diff(offsets)
-            parts = np.array([len(p) for p in extra])
-            at = len(words) + len(first) + np.concatenate([[0], np.cumsum(parts)[:-1]])
             # a text that is cut its own way has one placeholder piece in codes; put its pieces there
-            runs = counts.copy()
+            runs, starts = np.diff(offsets), offsets[:-1].copy()
+            parts = np.array([len(p) for p in extra])
             runs[rows] = parts
-            starts = offsets[:-1].copy()
-            starts[rows] = len(codes) + at - (len(words) + len(first))
+            starts[rows] = len(codes) + np.cumsum(parts) - parts
             pool = np.concatenate([codes, len(words) + len(first) + np.arange(parts.sum())])
             codes = pool[ragged_take(starts, runs)]
             offsets = np.concatenate([[0], np.cumsum(runs)])
-        at = self._rows(pieces)[codes]
-        taken = self.lengths[at]
-        ids = self.ids[ragged_take(self.begins[at], taken)]
+        flat_ids, lengths = self._pieces(words, others)
+        taken = lengths[codes]
+        ids = flat_ids[ragged_take((np.cumsum(lengths) - lengths)[codes], taken)]
         ends = np.concatenate([[0], np.cumsum(taken)])
         return ids, ends[offsets]

@@ -153,7 +153,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, seen = bpe.load(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", bpe.SLICE_BYTES):
             ids, offsets = encoder.encode(texts_of(batch, "text"))
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
             offsets = offsets + np.arange(len(offsets))

@@ -127,7 +127,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.load(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", bpe.SLICE_BYTES):
             ids, offsets = encoder.encode(texts_of(batch, "text"))
             ids = np.insert(ids, offsets[1:], end_id).astype(_dtype(encoder.tokenizer.get_vocab_size()))
             offsets = (offsets + np.arange(len(offsets))) * ids.itemsize

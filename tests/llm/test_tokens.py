@@ -137,7 +137,7 @@ def test_plan_places_each_rank_once_and_pairs_large_pieces():
                 at += length
             assert at <= capacity
         assert max(large.values()) <= 2
-        assert sequences <= plain_best_fit(counts, capacity) + 1
+        assert sequences <= 1.01 * plain_best_fit(counts, capacity) + 1
 
 
 def plain_best_fit(counts, capacity):
