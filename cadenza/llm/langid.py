@@ -13,6 +13,7 @@ the field that languages never change.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cadenza.llm.arrowtext import encode_words, segment_sum, slices, texts_of
@@ -38,7 +40,7 @@ UNKNOWN = "und"
 #: Distinct words whose scores a worker remembers; a bound on memory only.
 MEMO = 300_000
 _BLOCK = 32
-_models: dict[int, Model] = {}
+_models: dict[str, Model] = {}
 
 
 def clean(word: str) -> str:
@@ -296,16 +298,17 @@ def identify_rows(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     stay; an empty table gives an empty result; ties go to the first language in order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    key = uuid.uuid4().hex
     source = docs.drop("lang_pred", "lang_score")
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _models.get(shared.id)
+        model = _models.get(key)
         if model is None:
             _models.clear()
-            model = _models[shared.id] = pickle.loads(shared.value)
+            model = _models[key] = pickle.loads(shared.value)
         for batch in slices(batches, text_col, 1 << 20):
             langs, score = model.predict(texts_of(batch, text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "lang_score"])
 
-    return source.mapInArrow(run, source.schema.add("lang_pred", "string").add("lang_score", "double"))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))

@@ -171,7 +171,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
     shared = spark.sparkContext.broadcast(book.lengths.astype(np.uint8).tobytes())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = Codebook(np.frombuffer(shared.value, np.uint8).astype(np.int64))
+        book, shard, before = Codebook(np.frombuffer(shared.value, np.uint8).astype(np.int64)), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "ids"):
             raw = batch.column(1).to_pylist()
             ids = np.frombuffer(b"".join(raw), dtype).astype(np.int64)
@@ -182,20 +182,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
             marks = inner[np.repeat(offsets[:-1], stretches) + STRIDE * ragged_take(np.zeros(len(stretches), np.int64), stretches)]
             blocks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
             bounds = np.concatenate([[0], np.cumsum(stretches)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(bounds), pa.array(marks)), blocks.cast(pa.binary())], ["id", "n_ids", "checkpoints", "bits"])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, before = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.column(1).to_numpy()
-            starts = before + np.cumsum(n) - n
-            before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), *batch.columns[:2], pa.array(starts), *batch.columns[2:]], ["shard", "id", "n_ids", "shard_start", "checkpoints", "bits"])
+            columns = [pa.array(np.full(len(raw), shard, np.int32)), batch.column(0), pa.array(counts), pa.array(before + offsets[:-1]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(marks)), blocks.cast(pa.binary())]
+            before += int(offsets[-1])
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "id", "n_ids", "shard_start", "checkpoints", "bits"])
 
-    schema = "id long, n_ids long, checkpoints array<long>, bits binary"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.mapInArrow(encode, schema).repartitionByRange(parts, "id").sortWithinPartitions("id")
-    ordered.mapInArrow(place, f"shard int, {schema.replace('n_ids long,', 'n_ids long, shard_start long,')}").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    # the ids travel before they are coded: finding the ranges then costs a plain scan
+    ordered = tokens.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    blocks = ordered.mapInArrow(encode, "shard int, id long, n_ids long, shard_start long, checkpoints array<long>, bits binary")
+    blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     rows = [(int(s), int(book.lengths[s])) for s in book.symbols]
     spark.createDataFrame(rows, "symbol long, length int").coalesce(1).write.parquet(f"{path}/codebook")
     ws.drop("ids")

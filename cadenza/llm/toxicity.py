@@ -16,6 +16,7 @@ from __future__ import annotations
 import dataclasses
 import pickle
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.llm.arrowtext import encode_words, segment_sum, slices, texts_of
 from cadenza.llm.sampling import fold, texts_of_ids
@@ -36,7 +38,7 @@ DISCOUNTS = (0.75, 3.0, 8.0, 16.0)
 GATES = (0.0, 0.7, 1.2, 1.7, 2.2, 2.7)
 ORDERS = (1, 2)
 _STRIP = re.compile(r"[\W_]+")
-_models: dict[int, Model] = {}
+_models: dict[str, Model] = {}
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -245,15 +247,16 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     rows stay; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    key = uuid.uuid4().hex
     source = docs.drop("score")
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _models.get(shared.id)
+        model = _models.get(key)
         if model is None:
             _models.clear()
-            model = _models[shared.id] = pickle.loads(shared.value)
+            model = _models[key] = pickle.loads(shared.value)
         for batch in slices(batches, text_col):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(texts_of(batch, text_col)), pa.float64())], [*names, "score"])
 
-    return source.mapInArrow(run, source.schema.add("score", "double"))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())]))
