@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from cadenza.llm.arrowtext import encode_words, segment_sum, slices, texts_of
 from cadenza.llm.sampling import fold, texts_of_ids
 
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 #: Choices, taken by the loss on left-out rows: what each count gives to the shared counts, the
 #: log-ratio below which an expression counts as used alike, and how many words make an expression.
 DISCOUNTS = (0.75, 3.0, 8.0, 16.0)
