@@ -212,3 +212,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     classes = named.join(smallest, "component").select("fp", "component_id")
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that bear the smallest id of their near-duplicate group.
+
+    Rows that share id and text collapse into one. Rows without id stay only where no row of their
+    group has one; of those, equal texts collapse.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    ws = Workspace(docs.sparkSession, "simhash-kept")
+    first = ws.save(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col), "first")
+    total, distinct = first.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col(id_col), F.lit(-1)))).first()
+    left, right = docs.alias("left"), first.distinct().alias("right")
+    kept = left.join(right, F.col(f"left.{id_col}").eqNullSafe(F.col(f"right.{id_col}")), "left_semi")
+    return kept if total == distinct else kept.dropDuplicates([id_col, text_col])

@@ -1 +1,73 @@
-"""Corpus preparation in stages; filled in with the operators."""
+"""Corpus preparation: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Language ID drops documents without a recognisable language, toxicity drops toxic ones, SimHash keeps
+one document of each near-duplicate group, decontamination drops documents that hold a benchmark
+passage, and packing places what is left in sequences.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadenza.llm import decontam, langid, packing, simhash, toxicity
+from cadenza.llm.workspace import Workspace
+
+#: A document whose best language has a lower mean probability over its words is rejected.
+LEAST_LANGUAGE_SCORE = 0.4
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters and texts in which no language prevails."""
+    found = langid.identify_rows(docs, langid.train(docs))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents scored 0.5 or more by models of the labelled rows among these documents."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_rows(docs, model).where(F.col("score") < 0.5).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group."""
+    return simhash.keep_one(docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a passage within the edit budget of a benchmark item."""
+    found = decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("matches") == 0).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("toxicity", drop_toxic),
+    ("simhash_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_passages),
+    ("packing", pack_sequences),
+]
+
+#: Trained models, hashes and tokenisers are beyond SQL; the tests hold run() against a brute-force version.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the last stage's rows."""
+    ws = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (name, stage) in enumerate(STAGES):
+        docs = ws.save(stage(spark, docs, sf_dir), f"{number}-{name}")
+        if number:
+            ws.drop(f"{number - 1}-{STAGES[number - 1][0]}")
+    return docs
