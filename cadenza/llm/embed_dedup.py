@@ -184,7 +184,7 @@ def _compare(ids: np.ndarray, n: np.ndarray, packed: list[bytes], table: int, bi
         own = np.flatnonzero(sizes == size)
         sig = -(-bits * tables // 8)
         # size = 4 dim + 8 words + 8 + sig, words = ceil(dim / 64)
-        dim = next(d for d in range((size - sig) // 5, (size - sig) // 4 + 1) if 4 * d + 8 * -(-d // 64) + 8 + sig == size)
+        dim = next(d for d in range(1, size // 4 + 1) if 4 * d + 8 * -(-d // 64) + 8 + sig == size)
         rows = np.frombuffer(b"".join(packed[i] for i in own.tolist()), np.dtype(_fields(dim, -(-dim // 64), sig)))
         part = [own, own] if sides is None else [own[sides[own] == s] for s in (0, 1)]
         where = np.empty(len(ids), np.int64)
