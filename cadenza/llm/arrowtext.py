@@ -35,8 +35,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
-    """The text column as large strings, null as empty."""
-    return pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
+    """The text column as large strings in a buffer of their own, null as empty.
+
+    The copy matters: Arrow's ascii_lower misplaces strings whose buffer does not begin with them.
+    """
+    texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
+    return texts.take(pa.array(np.arange(len(texts))))
 
 
 def encode_words(words: pa.LargeListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:

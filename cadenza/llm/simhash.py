@@ -224,6 +224,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     ws = Workspace(docs.sparkSession, "simhash-kept")
     first = ws.save(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col), "first")
     total, distinct = first.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col(id_col), F.lit(-1)))).first()
-    left, right = docs.alias("left"), first.distinct().alias("right")
+    left, right = docs.alias("left"), first.distinct().hint("merge").alias("right")
     kept = left.join(right, F.col(f"left.{id_col}").eqNullSafe(F.col(f"right.{id_col}")), "left_semi")
     return kept if total == distinct else kept.dropDuplicates([id_col, text_col])

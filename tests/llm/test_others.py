@@ -245,6 +245,16 @@ def test_scores_of_awkward_rows(spark):
     assert all(r["n_known"] == 0 and abs(r["base_score"]) < 1e-6 for r in blank)
 
 
+def test_slices_keep_their_own_texts():
+    from cadenza.llm.arrowtext import slices, texts_of
+
+    texts = ["Héé ONE two", None, "ÉÇ deux\tTrois ", "  x é Y", "zz"] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+    found = [[w for w in ws if w] for s in slices([batch], "text", 20) for ws in ppm.split(texts_of(s, "text")).to_pylist()]
+    assert found == [low(t) for t in texts]
+
+
 def test_look_ups_find_all_and_only_their_keys():
     rng = np.random.default_rng(0)
     keys = rng.choice(10_000, 3000, replace=False).astype(np.uint64)
