@@ -1,10 +1,8 @@
-"""Registered queries over the driver tables, with their SQL counterparts."""
+"""All registered queries over the driver tables, with their SQL counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from cadenza.plans import document_queries, list_queries, series_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**series_queries.Q.queries, **list_queries.Q.queries, **text_queries.Q.queries, **document_queries.Q.queries}
+ORACLES = {**series_queries.Q.oracles, **list_queries.Q.oracles, **text_queries.Q.oracles, **document_queries.Q.oracles}
