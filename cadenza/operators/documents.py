@@ -6,6 +6,9 @@ key, booleans against numbers, integers against decimals.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +17,7 @@ FORMAT, VERSION = "cut-events", 2
 # fixed values of the document format
 KINDS = ("hard", "gradual", "unknown")
 STATUS = ("complete", "partial", "failed")
-FLAGS = ("low_confidence", "strobe_suppressed", "manual")
+FLAGS = ("strobe_suppressed",)
 
 
 def build_documents(runs: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,8 +92,8 @@ def event_violations(docs: DataFrame, keys: list[str], document: str) -> DataFra
     return events.select(*keys, "event_no", F.explode(names).alias("rule")).unionByName(broken)
 
 
-def document_violations(docs: DataFrame, keys: list[str], document: str) -> DataFrame:
-    """keys, rule for each broken rule of the document itself."""
+def document_violations(docs: DataFrame, keys: list[str], document: str, tag: str = FORMAT) -> DataFrame:
+    """keys, rule for each broken rule of the document itself; ``tag`` is the format name it must bear."""
     d = F.col("_d")
     text = lambda path: F.coalesce((_kind(d, path) == "STRING") & (F.length(_get(d, path, "string")) > 0), F.lit(False))
     coverage = _get(d, "$.analysis.coverage", "array<struct<start:double,end:double>>")
@@ -99,7 +102,7 @@ def document_violations(docs: DataFrame, keys: list[str], document: str) -> Data
     fps = _get(d, "$.fps", "double")
     rules = {
         "json": d.isNull(),
-        "format": ~F.coalesce(_get(d, "$.format", "string") == FORMAT, F.lit(False)),
+        "format": ~F.coalesce(_get(d, "$.format", "string") == tag, F.lit(False)),
         "version": ~F.coalesce((_kind(d, "$.schema_version") == "BIGINT") & (_get(d, "$.schema_version", "int") == VERSION), F.lit(False)),
         "fps": ~F.coalesce(_number(_kind(d, "$.fps")) & (fps > 0), F.lit(False)),
         "video": ~text("$.video"),
@@ -109,7 +112,12 @@ def document_violations(docs: DataFrame, keys: list[str], document: str) -> Data
         "coverage": _has(d, "$.analysis.coverage") & ~F.coalesce(ordered, F.lit(False)),
         "event_count": ~F.coalesce((_kind(d, "$.analysis.event_count") == "BIGINT") & (_get(d, "$.analysis.event_count", "int") == F.size(times)), F.lit(False)),
         "cuts": ~F.coalesce(_get(d, "$.cuts", "array<double>") == times, F.lit(False)),
-        "null": F.coalesce(F.col("_text").rlike(r'[:\[,]\s*null\s*[,\]}]'), F.lit(False)),
+        "source": ~(text("$.source.path") & text("$.source.mtime_utc") & F.coalesce((_kind(d, "$.source.size_bytes") == "BIGINT") & (_get(d, "$.source.size_bytes", "long") >= 0), F.lit(False))),
+        "source_duration": _has(d, "$.source.duration_seconds") & ~F.coalesce(_number(_kind(d, "$.source.duration_seconds")) & (_get(d, "$.source.duration_seconds", "double") > 0), F.lit(False)),
+        "run": ~(text("$.run.detector_id") & F.coalesce(_kind(d, "$.run.settings").startswith("OBJECT"), F.lit(False))),
+        "run_optional": reduce(or_, [_has(d, f"$.run.{k}") & ~text(f"$.run.{k}") for k in ("backend", "model", "tool_commit", "generated_by", "generated_utc")]) | (_has(d, "$.run.tool_dirty") & ~F.coalesce(_kind(d, "$.run.tool_dirty") == "BOOLEAN", F.lit(False))),
+        # outside of strings, null can only be the value
+        "null": F.coalesce(F.regexp_replace("_text", r'"(\\.|[^"\\])*"', '""').rlike("null"), F.lit(False)),
     }
     names = F.filter(F.array(*[F.when(F.coalesce(broke, F.lit(True)), F.lit(name)) for name, broke in rules.items()]), lambda x: x.isNotNull())
     return docs.select(*keys, F.col(document).alias("_text"), F.try_parse_json(document).alias("_d")).select(*keys, F.explode(names).alias("rule"))

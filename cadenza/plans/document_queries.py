@@ -16,7 +16,7 @@ WITH {SIG}, x AS (SELECT film, i, '{{"time":' || CASE WHEN i % 11 = 3 THEN '-1'
  || ',"transition_kind":"' || CASE WHEN i % 7 = 2 THEN 'wipe' WHEN i % 2 = 0 THEN 'gradual' ELSE 'hard' END || '"'
  || CASE WHEN i % 5 = 0 THEN ',"frame":' || CASE WHEN i % 10 = 0 THEN '-4' ELSE CAST(i AS VARCHAR) END ELSE '' END
  || CASE WHEN i % 6 = 1 THEN ',"span":{{"start":0.5,"end":900.5}}' WHEN i % 6 = 4 THEN ',"span":{{"start":0.5,"end":1.5}}' ELSE '' END
- || CASE WHEN i % 9 = 4 THEN ',"flags":["odd"]' WHEN i % 9 = 5 THEN ',"flags":["manual"]' ELSE '' END || '}}' AS e FROM sig)"""
+ || CASE WHEN i % 9 = 4 THEN ',"flags":["odd"]' WHEN i % 9 = 5 THEN ',"flags":["strobe_suppressed"]' ELSE '' END || '}}' AS e FROM sig)"""
 
 
 def event_text():
@@ -27,7 +27,7 @@ def event_text():
         F.lit(',"transition_kind":"'), F.when(i % 7 == 2, "wipe").when(i % 2 == 0, "gradual").otherwise("hard"), F.lit('"'),
         F.when(i % 5 == 0, F.concat(F.lit(',"frame":'), F.when(i % 10 == 0, "-4").otherwise(s))).otherwise(""),
         F.when(i % 6 == 1, ',"span":{"start":0.5,"end":900.5}').when(i % 6 == 4, ',"span":{"start":0.5,"end":1.5}').otherwise(""),
-        F.when(i % 9 == 4, ',"flags":["odd"]').when(i % 9 == 5, ',"flags":["manual"]').otherwise(""), F.lit("}"),
+        F.when(i % 9 == 4, ',"flags":["odd"]').when(i % 9 == 5, ',"flags":["strobe_suppressed"]').otherwise(""), F.lit("}"),
     )
 
 
@@ -48,13 +48,13 @@ def event_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q("document_rules", """
 SELECT event_id, unnest(list_filter([CASE WHEN event_id % 3 = 1 THEN 'format' END, CASE WHEN event_id % 4 = 1 THEN 'version' END, CASE WHEN event_id % 5 = 1 THEN 'fps' END,
- CASE WHEN event_id % 6 = 1 THEN 'video' END, CASE WHEN event_id % 7 = 1 THEN 'status' END, CASE WHEN event_id % 8 = 1 THEN 'event_count' END, CASE WHEN event_id % 9 = 1 THEN 'cuts' END], lambda x: x IS NOT NULL)) AS rule FROM events""")
+ CASE WHEN event_id % 6 = 1 THEN 'video' END, CASE WHEN event_id % 7 = 1 THEN 'status' END, CASE WHEN event_id % 8 = 1 THEN 'event_count' END, CASE WHEN event_id % 9 = 1 THEN 'cuts' END, CASE WHEN event_id % 10 = 1 THEN 'run_optional' END, CASE WHEN event_id % 10 = 1 THEN 'null' END], lambda x: x IS NOT NULL)) AS rule FROM events""")
 def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     text = F.concat(
         F.lit('{"format":"'), F.when(n % 3 == 1, "other").otherwise(documents.FORMAT), F.lit('","schema_version":'), F.when(n % 4 == 1, "true").otherwise("2"),
         F.lit(',"fps":'), F.when(n % 5 == 1, "0").otherwise("23.976"), F.lit(',"detector":"d","video":"'), F.when(n % 6 == 1, "").otherwise("v"),
-        F.lit('","analysis":{"status":"'), F.when(n % 7 == 1, "done").otherwise("complete"), F.lit('","warnings":[],"event_count":'), F.when(n % 8 == 1, "3").otherwise("2"),
+        F.lit('","source":{"path":"p","size_bytes":1,"mtime_utc":"t"},"run":{"detector_id":"x","settings":{}'), F.when(n % 10 == 1, ',"backend":null').otherwise(""), F.lit('},"analysis":{"status":"'), F.when(n % 7 == 1, "done").otherwise("complete"), F.lit('","warnings":[],"event_count":'), F.when(n % 8 == 1, "3").otherwise("2"),
         F.lit('},"cut_events":[{"time":1.5},{"time":2.5}],"cuts":[1.5,'), F.when(n % 9 == 1, "2.4").otherwise("2.5"), F.lit("]}"),
     )
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.alias("doc"))

@@ -207,9 +207,9 @@ def affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("film", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
 
 
-@Q("remap", f"WITH {SIG}, r AS (SELECT film, i, round_even(1.00125 * (i / 4.0) - 2.53125, 5) AS t FROM sig) SELECT film, i, t FROM r WHERE t >= 0")
+@Q("remap", f"WITH {SIG}, r AS (SELECT film, i, round(1.001 * (i / 3.0) - 2.5, 4) AS t FROM sig) SELECT film, i, t FROM r WHERE t >= 0")
 def remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signal(spark, sf_dir).select("film", "i", timecode.affine(F.col("i") / 4, 1.00125, -2.53125, 5).alias("t"))
+    s = signal(spark, sf_dir).select("film", "i", timecode.affine(F.col("i") / 3, 1.001, -2.5).alias("t"))
     return s.where("t >= 0")
 
 
