@@ -25,7 +25,7 @@ def shot_rows(lines: DataFrame, keys: list[str], line_no: str, text: str) -> Dat
 
 def read_shots(spark: SparkSession, path: str) -> DataFrame:
     """file, start_frame, end_frame of shot-list text files."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "text"))
     return shot_rows(lines, ["file"], "line_no", "text")
 
 

@@ -25,8 +25,8 @@ def _judge(held: list[tuple[int, float]], at: int, radius: int, ratio: float, fl
     return score / (base + 1e-6) if score >= floor and score >= ratio * (base + 1e-6) else None
 
 
-def spikes(stream: DataFrame, key: str = "film", step: str = "i", score: str = "score", radius: int = 15, ratio: float = 3.0, floor: float = 0.045, gap: int = 4, timeout_ms: int = 60_000) -> DataFrame:
-    """key, i, score, spike over a stream whose steps arrive in order within each sequence."""
+def spikes(stream: DataFrame, key: str = "film", step: str = "i", score: str = "score", radius: int = 15, ratio: float = 3.0, floor: float = 0.045, gap: int = 4, timeout_ms: int | None = 60_000) -> DataFrame:
+    """key, i, score, spike over a stream whose steps arrive in order within each sequence; without a timeout no sequence ends."""
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, done, last, first = pickle.loads(state.get[0]) if state.exists else ([], 0, None, None)
@@ -49,11 +49,12 @@ def spikes(stream: DataFrame, key: str = "film", step: str = "i", score: str = "
             state.remove()
         else:
             state.update((pickle.dumps((held, done, last, first)),))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(found, columns=[key, step, score, "spike"])
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, `{step}` long, `{score}` double, spike double", "data binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, `{step}` long, `{score}` double, spike double", "data binary", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def differences(stream: DataFrame, key: str = "film", step: str = "i", vector: str = "pixels") -> DataFrame:

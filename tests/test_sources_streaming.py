@@ -41,11 +41,11 @@ def test_written_subtitles_read_back(spark, tmp_path):
     ends = spark.createDataFrame([(1, 9.0)], "film int, duration double")
     shots = eventlist.intervals(cuts, ["film"], "t", ends)
     sources.write_entries(sources.srt_entries(shots, ["film"]), ["film"], f"{tmp_path}/srt")
-    text = spark.read.option("wholetext", True).text(f"{tmp_path}/srt/film=1")
+    text = spark.read.text(f"{tmp_path}/srt/film=1", wholetext=True)
     assert text.first()["value"].startswith("1\n00:00:00,000 --> 00:00:01,500\nShot 1\n\n2\n")
     assert text.select(sources.srt_cuts(F.col("value"))).first()[0] == [1.5, 4.0]
     sources.write_csv(cuts, ["film"], "t", 25, f"{tmp_path}/csv")
-    assert (next((tmp_path / "csv" / "film=1").glob("*.csv"))).read_text().splitlines()[:2] == ["cut_index,time_seconds,timecode", "1,1.500,00:00:01:12"]
+    assert (next((tmp_path / "csv" / "film=1").glob("*.csv"))).read_text().splitlines()[:2] == ["cut_index,time_seconds,timecode", "1,1.500,00:00:01:13"]
 
 
 def test_logs_and_keywords(spark):
@@ -83,7 +83,7 @@ def run_stream(spark, tmp_path, batches, make, name):
 def test_streamed_spikes_equal_batch_spikes(spark, tmp_path):
     scores, _ = sources.synthetic_scores(spark, 2, 400)
     batches = [scores.where(f"i >= {a} AND i < {a + 150}") for a in (0, 150, 300)]
-    found = run_stream(spark, tmp_path, batches, lambda s: streaming.spikes(s, timeout_ms=600_000), "spikes_out")
+    found = run_stream(spark, tmp_path, batches, lambda s: streaming.spikes(s, timeout_ms=None), "spikes_out")
     batch = series.spikes(scores, ["film"], "i", "score").where("i < 385").select("film", "i")  # later steps wait for their neighbours
     assert rows(found.select("film", "i")) == rows(batch)
 
