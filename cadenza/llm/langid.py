@@ -24,7 +24,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from cadenza.llm.arrowtext import encode_words, segment_sum, slices, texts_of
 from cadenza.llm.sampling import fold, texts_of_ids
@@ -282,11 +281,18 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     if hold_out is not None:
         known = known.where(fold(id_col) != hold_out)
-    # Spark keeps the first rows of each language within each task before it shuffles them
-    order = Window.partitionBy("known_lang").orderBy("hash", id_col)
-    ids = known.select(F.col(id_col), F.col(lang_col).alias("known_lang"), F.xxhash64(id_col).alias("hash"))
-    ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_rows).select(id_col, "known_lang")
-    rows = texts_of_ids(docs, ids.dropDuplicates([id_col]), id_col, text_col, "known_lang").collect()  # bounded by sample_rows a language
+    spark = docs.sparkSession
+    counts = known.groupBy(F.col(lang_col).alias("known_lang")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    shares = F.broadcast(spark.createDataFrame([(r["known_lang"], min(1.0, 3.0 * sample_rows / r["n"])) for r in counts], "known_lang string, share double"))
+    # rows whose hash lies in a share that holds about three times the sample: no task sees a whole language
+    place = (F.shiftrightunsigned(F.xxhash64(id_col), 11) / F.lit(2.0**53)).alias("place")
+    near = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("known_lang"), place).join(shares, "known_lang").where("place < share")
+    found: dict[str, dict[int, float]] = {}
+    for r in near.select("known_lang", "id", "place").collect():  # some sample_rows a language
+        found.setdefault(r["known_lang"], {})[r["id"]] = r["place"]
+    chosen = {i: lang for lang, places in sorted(found.items()) for i in sorted(places, key=lambda i: (places[i], i))[:sample_rows]}
+    ids = spark.createDataFrame(list(chosen.items()), f"`{id_col}` long, known_lang string")
+    rows = texts_of_ids(docs, ids, id_col, text_col, "known_lang").collect()
     rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
     return fit([r[1] or "" for r in rows], [r[2] for r in rows])
 
