@@ -192,7 +192,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     table = spark.createDataFrame([(s.length, s.first, s.last, s.sequence, s.per_bin, s.offset) for s in slots], schema)
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_shard.select("length", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["length", "shard"]).withColumn("rank", F.col("base") + F.col("local_rank"))
+    # the bases grow with the number of input splits, so they are never broadcast
+    ranked = pieces.join(bases.hint("shuffle_hash"), ["length", "shard"]).withColumn("rank", F.col("base") + F.col("local_rank"))
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).drop(table["length"])
     within = F.col("rank") - F.col("first")
     return placed.select(
