@@ -50,6 +50,13 @@ def encode_words(words: pa.LargeListArray) -> tuple[np.ndarray, np.ndarray, list
     return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets - offsets[0], flat.dictionary.to_pylist()
 
 
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of a binary column without nulls, offsets), without copying."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of each run, one run after the other."""
     ends = np.cumsum(lengths)

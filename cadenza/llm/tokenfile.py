@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadenza.llm import bpe
-from cadenza.llm.arrowtext import ragged_take, slices, texts_of
+from cadenza.llm.arrowtext import binary_parts, ragged_take, slices, texts_of
 from cadenza.llm.workspace import Workspace
 
 END_ID = 2
@@ -148,7 +148,7 @@ def count_ids(tokens: DataFrame, dtype: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype))
+            found = np.bincount(binary_parts(batch.column(0))[0].view(dtype))
             if len(found) > len(counts):
                 found, counts = counts, found.astype(np.int64)
             counts[: len(found)] += found
@@ -173,16 +173,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, shard, before = Codebook(np.frombuffer(shared.value, np.uint8).astype(np.int64)), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "ids"):
-            raw = batch.column(1).to_pylist()
-            ids = np.frombuffer(b"".join(raw), dtype).astype(np.int64)
-            counts = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(dtype).itemsize
-            offsets = np.concatenate([[0], np.cumsum(counts)])
+            raw, offsets = binary_parts(batch.column(1))
+            ids, offsets = raw.view(dtype).astype(np.int64), offsets // np.dtype(dtype).itemsize
+            counts = np.diff(offsets)
             data, at, inner = book.encode(ids, offsets)
             stretches = -(-counts // STRIDE)
             marks = inner[np.repeat(offsets[:-1], stretches) + STRIDE * ragged_take(np.zeros(len(stretches), np.int64), stretches)]
-            blocks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+            blocks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
             bounds = np.concatenate([[0], np.cumsum(stretches)]).astype(np.int32)
-            columns = [pa.array(np.full(len(raw), shard, np.int32)), batch.column(0), pa.array(counts), pa.array(before + offsets[:-1]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(marks)), blocks.cast(pa.binary())]
+            columns = [pa.array(np.full(len(counts), shard, np.int32)), batch.column(0), pa.array(counts), pa.array(before + offsets[:-1]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(marks)), blocks.cast(pa.binary())]
             before += int(offsets[-1])
             yield pa.RecordBatch.from_arrays(columns, ["shard", "id", "n_ids", "shard_start", "checkpoints", "bits"])
 
@@ -206,16 +205,15 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook(np.frombuffer(shared.value, np.uint8).astype(np.int64))
-        for batch in slices(batches, "bits", 1 << 20):
-            raw, counts = batch.column(5).to_pylist(), batch.column(2).to_numpy()
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-            begins = (np.cumsum(sizes) - sizes) * 8
+        for batch in slices(batches, "bits", 1 << 22):
+            (raw, at), counts = binary_parts(batch.column(5)), batch.column(2).to_numpy()
+            begins = at[:-1] * 8
             marks = batch.column(4).flatten().to_numpy()
             stretches = -(-counts // STRIDE)
             last = np.cumsum(stretches) - 1
             each = np.full(len(marks), STRIDE, np.int64)
             each[last] = counts - STRIDE * (stretches - 1)
-            ids = book.decode(np.frombuffer(b"".join(raw), np.uint8), marks + np.repeat(begins, stretches), each).astype("<u4")
+            ids = book.decode(raw, marks + np.repeat(begins, stretches), each).astype("<u4")
             ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
             parts = [ids[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)]
             crc = pa.array([zlib.crc32(p) for p in parts], pa.int64())
