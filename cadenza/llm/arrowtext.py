@@ -6,7 +6,10 @@ a slice once, however often it occurs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,23 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
+_held: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """This process's one model: a worker that serves a later stage gives the earlier one's memory back first."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+        _held[key] = make()
+    return _held[key]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in batches of at most ``limit`` bytes of ``column`` (or one row)."""
     for batch in batches:

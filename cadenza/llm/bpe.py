@@ -17,23 +17,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from cadenza.llm.arrowtext import ragged_take
+from cadenza.llm.arrowtext import held, ragged_take
 
 #: Distinct parts remembered between slices; a bound on memory only, results do not depend on it.
-MEMO = 400_000
+MEMO = 300_000
 #: Text encoded at once: more means fewer look-ups of the same piece and more memory.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 _SAFE = re.compile(r"(?= \S)")
 _ODD = r" \s| $"
 _MARKS = ".,;:!?\n*%$#&"
-_loaded: dict[str, Encoder] = {}
 
 
 def load(path: str) -> Encoder:
     """This process's encoder for a tokenizer file."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    return held(path, lambda: Encoder(path))
 
 
 class _Table:

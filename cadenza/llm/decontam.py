@@ -21,14 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.arrowtext import slices, texts_of
+from cadenza.llm.arrowtext import held, slices, texts_of
 from cadenza.llm.workspace import Workspace
 
 RATE = 0.05
 ITEM_CHARS = 4_000_000
 MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("distance", T.LongType())])
 _MATCH = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int64())])
-_loaded: dict[str, Matcher] = {}
 
 
 def normal(text: str | None) -> str:
@@ -132,10 +131,7 @@ def find(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str =
 
 def _pass(docs: DataFrame, shared, key: str, rate: float, text_col: str, names: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _loaded:
-            _loaded.clear()
-            _loaded[key] = Matcher(shared.value, rate)
-        matcher = _loaded[key]
+        matcher = held(key, lambda: Matcher(shared.value, rate))
         for batch in slices(batches, text_col):
             met = batch.column(batch.num_columns - 1).to_pylist()
             found = []

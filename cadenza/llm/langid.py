@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.arrowtext import encode_words, segment_sum, slices, texts_of
+from cadenza.llm.arrowtext import encode_words, held, segment_sum, slices, texts_of
 from cadenza.llm.sampling import fold, texts_of_ids
 
 SAMPLE_ROWS = 300
@@ -37,9 +37,8 @@ SWITCH = 1 / 16
 STEPS = 60
 UNKNOWN = "und"
 #: Distinct words whose scores a worker remembers; a bound on memory only.
-MEMO = 300_000
+MEMO = 200_000
 _BLOCK = 32
-_models: dict[str, Model] = {}
 
 
 def clean(word: str) -> str:
@@ -309,10 +308,7 @@ def identify_rows(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _models.get(key)
-        if model is None:
-            _models.clear()
-            model = _models[key] = pickle.loads(shared.value)
+        model = held(key, lambda: pickle.loads(shared.value))
         for batch in slices(batches, text_col, 1 << 20):
             langs, score = model.predict(texts_of(batch, text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "lang_score"])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.arrowtext import encode_words, slices, texts_of
+from cadenza.llm.arrowtext import encode_words, held, slices, texts_of
 
 #: Rows of the corpus whose paragraphs stand for the unknown class in training.
 SAMPLE_ROWS = 300
@@ -50,7 +50,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "unlicense": ("Released under the Unlicense.", "This is free and unencumbered software released into the public domain."),
 }
 _STRIP = re.compile(r"[\W_]+")
-_models: dict[str, Model] = {}
 
 
 def words_of(text: str) -> list[str]:
@@ -237,10 +236,7 @@ def scan_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = pickle.loads(shared.value)
-        model = _models[key]
+        model = held(key, lambda: pickle.loads(shared.value))
         for batch in slices(batches, text_col):
             found = [[dict(zip(("line", "family", "probability", "overlap"), f, strict=True)) for f in fs] for fs in model.scan(texts_of(batch, text_col))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _FOUND)], [*names, "licenses"])

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.arrowtext import segment_sum, slices, texts_of
+from cadenza.llm.arrowtext import held, segment_sum, slices, texts_of
 from cadenza.llm.sampling import fold
 from cadenza.llm.workspace import Workspace
 
@@ -47,7 +47,6 @@ END = 10  # a byte that no token contains
 ALPHABET = 252
 #: Entries a counting task holds before it sends them on.
 FLUSH = 1_000_000
-_models: dict[str, tuple] = {}
 
 
 def split(texts: pa.Array) -> pa.LargeListArray:
@@ -346,10 +345,7 @@ def score(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: s
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = pickle.loads(shared.value)
-        trie, names, n_head, n_docs = _models[key]
+        trie, names, n_head, n_docs = held(key, lambda: pickle.loads(shared.value))
         logs = np.log10(np.concatenate([n_head, [n_docs]]) + 0.5)
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.arrowtext import encode_words, segment_sum, slices, texts_of
+from cadenza.llm.arrowtext import encode_words, held, segment_sum, slices, texts_of
 from cadenza.llm.sampling import fold, texts_of_ids
 
 SAMPLE_ROWS = 2000
@@ -38,7 +38,6 @@ DISCOUNTS = (0.75, 3.0, 8.0, 16.0)
 GATES = (0.0, 0.7, 1.2, 1.7, 2.2, 2.7)
 ORDERS = (1, 2)
 _STRIP = re.compile(r"[\W_]+")
-_models: dict[str, Model] = {}
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -252,10 +251,7 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _models.get(key)
-        if model is None:
-            _models.clear()
-            model = _models[key] = pickle.loads(shared.value)
+        model = held(key, lambda: pickle.loads(shared.value))
         for batch in slices(batches, text_col):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(texts_of(batch, text_col)), pa.float64())], [*names, "score"])
 
