@@ -206,7 +206,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ws = Workspace(docs.sparkSession, "simhash")
     prints = ws.save(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = ws.save(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    groups = connected_components(ws, link_fingerprints(ws, distinct.select("fp"), radius, limit)).select(F.col("node").alias("fp"), "component")
+    return group(ws, prints, link_fingerprints(ws, distinct.select("fp"), radius, limit), id_col, distinct)
+
+
+def group(ws: Workspace, prints: DataFrame, edges: DataFrame, id_col: str, distinct: DataFrame | None = None) -> DataFrame:
+    """(id_col, fp, component_id) of prints(id, fp) and the edges between their fp."""
+    if distinct is None:
+        distinct = ws.save(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
+    groups = connected_components(ws, edges).select(F.col("node").alias("fp"), "component")
     named = distinct.join(groups, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     named = ws.save(named, "named")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -220,7 +227,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Rows that share id and text collapse into one. Rows without id stay only where no row of their
     group has one; of those, equal texts collapse.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``keep_one`` of the groups in found(id_col, component_id)."""
     ws = Workspace(docs.sparkSession, "simhash-kept")
     first = ws.save(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col), "first")
     total, distinct = first.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col(id_col), F.lit(-1)))).first()
