@@ -1,17 +1,20 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles, with no pair missed.
-
-Two texts link if the sets of their word shingles have a Jaccard similarity of at least 0.8 (9 * common
->= 4 * both sizes). A SimHash radius that misses next to none of these is past 15 of 64 bits, where neither
-pigeonhole blocks nor BK-trees exclude much, so candidates come from two bounds that lose nothing:
-
-- Prefixes: in any fixed order of all shingles, two such sets share one of their first n - ceil(0.8 n) + 1.
-  Texts meet in one bucket per prefix shingle. Shingles that are frequent in a sample come last, which
-  keeps buckets small; the sample decides nothing else.
-- Parities: each set has a bit map of the parity of its shingles per residue of their hash. The maps of two
-  sets differ in at most as many bits as the sets in members, and 0.8 allows few.
-
-What is left is compared exactly. Buckets of more than ``BLOCK`` texts are dealt out as pairs of blocks.
-First each text of a bucket is compared with its nearest only; then all pairs whose components still differ.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash, BK-trees in shards, exact check.
+
+Two texts link if the sets of their five-word shingles have a Jaccard similarity of at least 0.8
+(9 * common >= 4 * both sizes). Each set has a 64-bit SimHash. Fingerprints of two such sets differ in
+some 10 bits, in more than ``RADIUS`` with a probability of about one in a million.
+
+Blocks of a fingerprint are no shard keys at that radius: too few stay whole. Shards are keyed by
+shingles instead. In any fixed order of all shingles, two sets 0.8 alike share one of their first
+n - ceil(0.8 n) + 1, so each set goes to one shard per such shingle and no pair is lost. Shingles that
+are frequent in a sample come last, which keeps shards small; the sample decides nothing else.
+
+A shard's fingerprints stand in a BK-tree, followed along the edges within the radius. Sizes must agree
+to 0.8. Shards of up to ``SMALL`` sets give all their pairs at once. Larger ones first link each set to
+its nearest neighbour; what is then in one component is not paired again, and of the rest only pairs
+whose parity maps allow it: such a map has a bit for each of ``PARITIES`` residues, set if an odd number
+of shingles fall there, and two maps never differ in more bits than the sets in shingles. Shards over
+``BLOCK`` sets are dealt out as pairs of blocks. Every pair left is compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -24,58 +27,116 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm import simhash
-from cadenza.llm.arrowtext import slices
+from cadenza.llm.arrowtext import encode_words, ragged_take, slices, texts_of
+from cadenza.llm.bktree import PackedBKTree
 from cadenza.llm.graph import connected_components
+from cadenza.llm.ppm import split
 from cadenza.llm.workspace import Workspace
 
 WORDS = 5
-BLOCK = 1024
+RADIUS = 24
+SMALL = 32
+BLOCK = 2048
+PARITIES = 512
 #: Share of rows, and of those the share that makes a shingle frequent: both only order the shingles.
 SAMPLE, FREQUENT = 16, 1000
-_MOST_BITS = 4096
-_PRINTS = "id long, fp long, n int, bits binary, prefix array<long>, members binary"
-
-
-def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; fewer words make one shingle, no word none."""
-    found = text.translate(simhash._LOWER).split()
-    if not found:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, simhash.SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    spans = zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], simhash.SEED) for s, e in spans), np.uint64, len(found) - words + 1))
-
-
-def parities(members: np.ndarray) -> bytes:
-    """The bit map: a power of two of bits, at least twice the members, from 64 to 4096."""
-    size = min(max(64, 1 << (2 * len(members) - 1).bit_length()), _MOST_BITS) if len(members) else 64
-    odd = np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+_PRINTS = "id long, key long, fp long, sim long, n int, parity binary, prefix array<long>, hot array<boolean>"
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Candidate pairs that a task holds before it sends the distinct ones on.
+_FLUSH = 1 << 20
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): of each text the sorted distinct hashes of its shingles.
+
+    A-Z count as lower case; words are runs without ASCII white space. A text of fewer words has one
+    shingle, all of them; a text without words has none.
+    """
+    codes, offsets, names = encode_words(split(texts))
+    own = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)[codes] if len(names) else np.zeros(0, np.uint64)
+    blank = np.array([not w for w in names], bool)[codes] if len(names) else np.zeros(0, bool)
+    counts = np.diff(offsets)
+    hashes, docs = [], []
+    n = len(own) - words + 1
+    if n > 0:
+        whole = np.full(n, words, np.uint64)
+        for k in range(words):
+            whole = _mix(whole * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n])
+        runs = np.maximum(counts - words + 1, 0)
+        hashes.append(whole[ragged_take(offsets[:-1], runs)])
+        docs.append(np.repeat(np.arange(len(counts)), runs))
+    for i in np.flatnonzero((counts > 0) & (counts < words)).tolist():
+        s, e = int(offsets[i]), int(offsets[i + 1])
+        if not blank[s]:
+            whole = np.array([e - s], np.uint64)
+            for k in range(s, e):
+                whole = _mix(whole * np.uint64(0x9E3779B97F4A7C15) + own[k : k + 1])
+            hashes.append(whole)
+            docs.append(np.array([i]))
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(counts) + 1, np.int64)
+    all_, doc = np.concatenate(hashes), np.concatenate(docs)
+    order = np.lexsort((all_, doc))
+    all_, doc = all_[order], doc[order]
+    first = np.ones(len(all_), bool)
+    first[1:] = (all_[1:] != all_[:-1]) | (doc[1:] != doc[:-1])
+    return all_[first], np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(counts)))])
+
+
+def simhashes(members: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash of each set: a bit is one if set in over half the members."""
+    sizes = np.diff(offsets)
+    out = np.zeros(len(sizes), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        starts = offsets[:-1][some]
+        for bit in range(64):
+            ones = np.add.reduceat(((members >> np.uint64(bit)) & np.uint64(1)).astype(np.uint32), starts)
+            out[some] |= (ones * 2 > sizes[some]).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
+def parities(members: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of ``PARITIES`` / 8 bytes for each set."""
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    odd = np.bincount(doc * PARITIES + (members % np.uint64(PARITIES)).astype(np.int64), minlength=(len(offsets) - 1) * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, PARITIES), axis=1, bitorder="little")
+
+
+def _name(members: bytes) -> int:
+    """What stands for a set everywhere: equal sets bear it together; zero for the empty one."""
+    return int.from_bytes(xxhash.xxh3_64_digest(members), "little", signed=True) if members else 0
+
+
+def _listed(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
 def _prints(docs: DataFrame, frequent: np.ndarray, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            names, sizes, bits, prefixes, sets = [], [], [], [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                members = shingle_set(raw or b"", words)
-                names.append(xxhash.xxh3_64_intdigest(members.tobytes()) if len(members) else 0)
-                sizes.append(len(members))
-                bits.append(parities(members))
-                if len(frequent):
-                    last = frequent[np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)] == members
-                    ordered = np.concatenate([members[~last], members[last]])
-                else:
-                    ordered = members
-                prefixes.append(ordered[: len(members) // 5 + 1].view(np.int64))  # n - ceil(0.8 n) + 1
-                sets.append(members.tobytes())
-            columns = [batch.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "n", "bits", "prefix", "members"])
+            members, offsets = shingle_sets(texts_of(batch, "text"), words)
+            sizes = np.diff(offsets)
+            raw, ends = members.tobytes(), (offsets * 8).tolist()
+            names = np.array([_name(raw[s:e]) for s, e in zip(ends, ends[1:], strict=False)], np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            late = frequent[np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)] == members if len(frequent) else np.zeros(len(members), bool)
+            order = np.lexsort((late, doc))  # stable: within a text by hash
+            most = np.where(sizes > 0, sizes // 5 + 1, 0)  # n - ceil(0.8 n) + 1
+            first = order[ragged_take(offsets[:-1], most)]
+            bounds = np.concatenate([[0], np.cumsum(most)])
+            maps = parities(members, offsets)
+            columns = [
+                batch.column(0), batch.column(1), pa.array(names), pa.array(simhashes(members, offsets).view(np.int64)), pa.array(sizes.astype(np.int32)),
+                pa.array([x.tobytes() for x in maps], pa.binary()), _listed(pa.array(members[first].view(np.int64)), bounds), _listed(pa.array(late[first]), bounds),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "sim", "n", "parity", "prefix", "hot"])
 
     return docs.mapInArrow(run, _PRINTS)
 
@@ -85,8 +146,7 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [shingle_set(x or b"", words) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(texts_of(batch, "text"), words)[0].view(np.int64))], ["h"])
 
     sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
     least = max(8, sample.count() // FREQUENT)
@@ -94,127 +154,189 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _close(n: np.ndarray, at: np.ndarray, group: np.ndarray, bits: list[bytes], side: np.ndarray | None, every: bool) -> Iterator[tuple[int, int]]:
-    """Index pairs of a bucket that the bounds do not exclude: all, or for each text its nearest earlier one."""
-    best: dict[int, tuple[int, int]] = {}
-    lengths = np.fromiter(map(len, bits), np.int64, len(bits))
-    rows = {size: np.flatnonzero(lengths == size) for size in np.unique(lengths).tolist()}
-    maps = {size: np.frombuffer(b"".join([bits[i] for i in idx]), np.uint64).reshape(len(idx), -1) for size, idx in rows.items()}
-    for size, left in rows.items():
-        half = [(rows[size // 2], maps[size][:, : size // 16] ^ maps[size][:, size // 16 :], maps[size // 2])] if size // 2 in rows else []
-        for right, x, y in [(left, maps[size], maps[size]), *half]:  # 0.8 keeps sizes, and so maps, within a factor of two
-            for s in range(0, len(left), 256):
-                i = left[s : s + 256]
-                apart = np.zeros((len(i), len(right)), np.int32)
-                for w in range(x.shape[1]):
-                    apart += np.bitwise_count(x[s : s + 256, w, None] ^ y[None, :, w])
-                both = n[i][:, None] + n[right][None, :]
-                least = -(-4 * both // 9)
-                ok = (apart <= both - 2 * least) & (np.minimum((n - at)[i][:, None], (n - at)[right][None, :]) >= least) & (group[i][:, None] != group[right][None, :])
-                if right is left:
-                    ok &= i[:, None] > right[None, :]
-                if side is not None:
-                    ok &= side[i][:, None] != side[right][None, :]
-                for p, q in zip(*(z.tolist() for z in np.nonzero(ok)), strict=True):
-                    a, b = max(int(i[p]), int(right[q])), min(int(i[p]), int(right[q]))
-                    if every:
-                        yield a, b
-                    else:
-                        best[a] = min(best.get(a, (1 << 30, 0)), (int(apart[p, q]), b))
-    yield from ((a, b) for a, (_, b) in best.items())
+def _alike(n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes that 0.8 allows."""
+    return (5 * n[i] >= 4 * n[j]) & (5 * n[j] >= 4 * n[i])
 
 
-def _candidates(buckets: DataFrame, every: bool) -> DataFrame:
-    """buckets(bucket, fp, n, at, bits, side, component) → distinct (a, b); side tells the two blocks of a pair apart."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches without their last key's rows, which go with the next, so that no key is split."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        if not len(keys):
+            continue
+        changes = np.flatnonzero(np.diff(keys))
+        last = int(changes[-1]) + 1 if len(changes) else 0
+        if kept and keys[0] != kept[0].column(0)[0].as_py():
+            yield _joined(kept)
+            kept = []
+        if last:
+            yield _joined([*kept, batch.slice(0, last)])
+            kept = []
+        kept.append(batch.slice(last))
+    if kept:
+        yield _joined(kept)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _small(shards: DataFrame) -> DataFrame:
+    """shards(shard, fp, sim, n) → (a, b, shard, fp): candidate pairs of small shards, and the members of the others."""
+    schema = pa.schema([*_PAIR, ("shard", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            whole = pa.Table.from_batches(parts)
-            fps, n, at, side, group = (whole.column(k).to_numpy() for k in ("fp", "n", "at", "side", "component"))
-            pairs = list(_close(n, at, group, whole.column("bits").to_pylist(), None if (side == -1).any() else side, every)) if len(fps) > 1 else []
-            if not pairs:
-                return None
-            ends = fps[np.array(pairs)]
-            return pa.RecordBatch.from_arrays([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], schema=schema)
-
-        key, held = None, []
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                if s == e:
+        held: list[np.ndarray] = []
+
+        def pairs() -> pa.RecordBatch:
+            ends = np.unique(np.concatenate(held), axis=0)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.nulls(len(ends), pa.int64()), pa.nulls(len(ends), pa.int64())], schema=schema)
+
+        for batch in _grouped(batches):
+            keys, fps, sims, n = (c.to_numpy() for c in batch.columns)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+            sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+            large = np.flatnonzero(sizes > SMALL)
+            if len(large):
+                at = ragged_take(starts[large], sizes[large])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(keys[at]), pa.array(fps[at])], schema=schema)
+            for size in range(2, SMALL + 1):  # all shards of a size at once: too small for trees
+                first = starts[sizes == size]
+                if not len(first):
                     continue
-                if held and keys[s] != key:
-                    if (out := done(held)) is not None:
-                        yield out
-                    held = []
-                key = keys[s]
-                held.append(batch.slice(s, e - s))
-        if held and (out := done(held)) is not None:
-            yield out
+                left, right = np.triu_indices(size, 1)
+                i, j = (first[:, None] + left).ravel(), (first[:, None] + right).ravel()
+                near = (np.bitwise_count(sims[i].view(np.uint64) ^ sims[j].view(np.uint64)) <= RADIUS) & _alike(n, i, j)
+                if near.any():
+                    held.append(np.sort(np.stack([fps[i[near]], fps[j[near]]], axis=1), axis=1))
+            if sum(map(len, held)) > _FLUSH:
+                yield pairs()
+        if held:
+            yield pairs()
 
-    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return buckets.repartition(parts, "bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a long, b long").distinct()
+    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long, shard long, fp long")
 
 
-def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are in fact 0.8 alike."""
+def _search(shards: DataFrame, every: bool) -> DataFrame:
+    """shards(shard, side, fp, sim, n, parity, component) → distinct (a, b) by a BK-tree per shard.
+
+    For each set its nearest of another component, or every one that the parities allow; ``side``
+    tells the two blocks of a pair apart, -1 where both are one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _grouped(batches):
+            keys, side, fps, sims, n, _, group = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            maps = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(fps), -1)
+            bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            found = []
+            for s, e in zip(bounds, bounds[1:], strict=False):
+                values = sims[s:e].view(np.uint64)
+                best: dict[int, tuple[int, int]] = {}
+                for i, j in PackedBKTree(values).within(values, RADIUS):
+                    i, j = i + s, j + s
+                    keep = (i != j) & (group[i] != group[j]) & _alike(n, i, j)
+                    keep &= (side[i] == -1) | (side[i] != side[j])
+                    if every:
+                        keep &= i > j
+                    i, j = i[keep], j[keep]
+                    both = (n[i] + n[j]).astype(np.int64)
+                    apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
+                    keep = apart <= both - 2 * -(-4 * both // 9)
+                    i, j, apart = i[keep], j[keep], apart[keep]
+                    if every:
+                        found.append(np.stack([i, j], axis=1))
+                        continue
+                    order = np.lexsort((j, apart, i))
+                    i, j, apart = i[order], j[order], apart[order]
+                    for x in np.flatnonzero(np.diff(i, prepend=-1)).tolist():
+                        best[int(i[x])] = min(best.get(int(i[x]), (1 << 30, 0)), (int(apart[x]), int(j[x])))
+                if best:
+                    found.append(np.array([(i, j) for i, (_, j) in best.items()]))
+                if sum(map(len, found)) > _FLUSH:
+                    yield _pairs(fps, found)
+                    found = []
+            if found:
+                yield _pairs(fps, found)
+
+    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(fps: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.unique(np.sort(fps[np.concatenate(found)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=_PAIR)
+
+
+def _verified(pairs: DataFrame, named: DataFrame, source: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of sets that are in fact 0.8 alike; named(fp, key) has a row of ``source`` for each set."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found, offsets = shingle_sets(texts_of(batch, "text"), words)
+            raw, ends = found.tobytes(), (offsets * 8).tolist()
+            sets = [raw[s:e] for s, e in zip(ends, ends[1:], strict=False)]
+            # rows of other texts may bear the same key
+            own = [_name(x) == fp for x, fp in zip(sets, batch.column(0).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "members"]).filter(pa.array(own, pa.bool_()))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                good.append(9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b)))
+                common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                good.append(9 * common >= 4 * (len(a) + len(b)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = prints.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("members").alias("members"))
+    texts = source.join(named.join(ends, "fp", "left_semi"), "key").select("fp", "text")
+    sets = texts.mapInArrow(members, "fp long, members binary").groupBy("fp").agg(F.first("members").alias("members"))
     side = lambda name: sets.select(F.col("fp").alias(name), F.col("members").alias(f"of_{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
 
 
-def _dealt(buckets: DataFrame, block: int) -> DataFrame:
-    """Buckets over the block size as pairs of blocks: a text goes to every pair that its block is in."""
+def _dealt(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Shards over the block size as pairs of blocks: a set goes to every pair that its block is in."""
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    out = buckets.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    out = members.join(sizes, "shard").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # a pair of a block with itself compares all; of two blocks, only across
     side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
     # a 64-bit name may be shared by chance; that only puts more pairs under the bounds
-    name = F.struct("shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    return out.select(F.xxhash64(name).alias("bucket"), "fp", "n", "at", "bits", side.alias("side"), "component")
+    name = F.struct("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return out.select(F.xxhash64(name).alias("shard"), side.alias("side"), "fp", "sim", "n", "parity", "component")
 
 
-def link_sets(ws: Workspace, prints: DataFrame, block: int = BLOCK) -> DataFrame:
+def link_sets(ws: Workspace, prints: DataFrame, source: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """(a, b) over the longs ``fp``: edges that connect exactly what similarities of 0.8 or more connect."""
-    one = prints.groupBy("fp").agg(F.first(F.struct("n", "bits", "prefix")).alias("x")).select("fp", "x.*")
-    one = ws.save(one, "sets")
-    rows = one.select("fp", F.posexplode("prefix").alias("at", "shingle"))
-    sizes = ws.save(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    met = ws.save(rows.join(sizes, "shingle").select("shingle", "size", "fp", "at"), "met")
-    maps = one.select("fp", "n", "bits")
-    first = met.join(maps, "fp").withColumn("component", F.col("fp"))
-    edges = ws.save(_verified(ws.save(_candidates(_dealt(first, block), False), "nearest"), prints), "edges")
-    named = connected_components(ws, edges, "nearest").select(F.col("node").alias("fp"), "component")
-    # in a bucket of two, the nearest is all
-    second = met.where("size > 2").join(named, "fp", "left").withColumn("component", F.coalesce("component", "fp")).join(maps, "fp")
-    rest = ws.save(_candidates(_dealt(second, block), True).join(edges, ["a", "b"], "left_anti"), "rest")
-    found = ws.save(_verified(rest, prints), "edges-rest")
-    ws.drop("met", "sizes", "nearest", "rest")
-    return edges.unionByName(found)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """(id_col, fp long, component_id) as ``simhash.near_duplicates``; ``fp`` names the set of shingles, texts without words zero."""
+    one = prints.groupBy("fp").agg(F.min("key").alias("key"), F.first(F.struct("sim", "n", "parity", "prefix", "hot")).alias("x"))
+    one = ws.save(one.where("x.n > 0").select("fp", "key", "x.*"), "sets")
+    rows = one.select("fp", "sim", "n", F.explode(F.arrays_zip("prefix", "hot")).alias("x")).select(F.col("x.prefix").alias("shard"), "fp", "sim", "n", F.col("x.hot").alias("hot"))
+    # frequent shingles make large shards for sure; their rows never meet in one task
+    found = ws.save(_small(rows.where("not hot").drop("hot")), "small")
+    members = ws.save(found.where("shard is not null").select("shard", "fp").unionByName(rows.where("hot").select("shard", "fp")), "members")
+    sizes = ws.save(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    facts, named = one.select("fp", "sim", "n", "parity"), one.select("fp", "key")
+    shards = _dealt(members.join(facts, "fp").withColumn("component", F.col("fp")), sizes, block)
+    first = found.where("a is not null").select("a", "b").unionByName(_search(shards, False)).distinct()
+    edges = ws.save(_verified(ws.save(first, "nearest"), named, source, words), "edges")
+    groups = connected_components(ws, edges, "nearest").select(F.col("node").alias("fp"), "component")
+    later = members.join(facts, "fp").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rest = ws.save(_search(_dealt(later, sizes, block), True).join(edges, ["a", "b"], "left_anti"), "rest")
+    more = ws.save(_verified(rest, named, source, words), "edges-rest")
+    ws.drop("small", "members", "sizes", "nearest", "rest", "sets")
+    return edges.unionByName(more)
+
+
+def find(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, block: int = BLOCK) -> tuple[Workspace, DataFrame, DataFrame]:
+    """(workspace, prints(id, fp), edges): the parts of ``simhash.near_duplicates`` for a similarity."""
     ws = Workspace(docs.sparkSession, "shingles")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = source.select("id", F.coalesce("id", F.xxhash64("text")).alias("key"), "text")
     prints = ws.save(_prints(source, _frequent(source, words), words), "prints")
-    return simhash.group(ws, prints.select("id", "fp"), link_sets(ws, prints, block), id_col)
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that bear the smallest id of their group, as ``simhash.keep_one``."""
-    return simhash.keep_first(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+    return ws, prints.select("id", "fp"), link_sets(ws, prints, source, words, block)

@@ -10,6 +10,9 @@ their Hamming distance to the parent) is queried along the edges within the radi
 trees' members grow with the corpus, so shards travel by a shuffle on their key and no tree is
 broadcast. A shard with more than ``SHARD_LIMIT`` fingerprints is dealt out again by parts of its
 remaining 32 bits, which keeps each tree small and loses nothing.
+
+``similar`` and ``keep_one`` are the form for near copies: five-word shingles, a similarity of 0.8, a
+wide radius and an exact check (``shingles``).
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm import shingles
 from cadenza.llm.arrowtext import slices
 from cadenza.llm.graph import connected_components
 from cadenza.llm.workspace import Workspace
@@ -221,13 +225,25 @@ def group(ws: Workspace, prints: DataFrame, edges: DataFrame, id_col: str, disti
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that bear the smallest id of their near-duplicate group.
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = shingles.WORDS, block: int = shingles.BLOCK) -> DataFrame:
+    """(id_col, fp long, component_id) as ``near_duplicates``, linked by a Jaccard similarity of 0.8 of word shingles.
+
+    SimHash and BK-trees find the candidates and an exact comparison decides; see ``shingles``. ``fp``
+    names the set of shingles; null texts and texts without words have the empty set, zero, and link
+    with each other. Texts are whole, however long; repeated rows and ties stay; null ids keep their
+    row as in ``near_duplicates``; an empty table gives an empty result; other columns are ignored.
+    """
+    ws, prints, edges = shingles.find(docs, id_col, text_col, words, block)
+    return group(ws, prints, edges, id_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = shingles.WORDS) -> DataFrame:
+    """The rows of ``docs`` that bear the smallest id of their group of ``similar`` texts.
 
     Rows that share id and text collapse into one. Rows without id stay only where no row of their
     group has one; of those, equal texts collapse.
     """
-    return keep_first(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col, text_col)
+    return keep_first(docs, similar(docs, id_col, text_col, words), id_col, text_col)
 
 
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:

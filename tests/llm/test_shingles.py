@@ -3,9 +3,12 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from cadenza.llm import shingles
+from cadenza.llm import shingles, simhash
+from cadenza.llm.bktree import PackedBKTree
 from tests.llm.helpers import AWKWARD, awkward, empty, rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,12 +48,13 @@ def near_copies():
     return [" ".join(m) for m in made]
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_groups_match_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "small"), [(1024, 32), (1024, 2), (3, 2)])
+def test_groups_match_all_pairs(spark, block, small, monkeypatch):
+    monkeypatch.setattr(shingles, "SMALL", small)
     texts = near_copies()
     expected = slow_components(texts)
     assert len(set(expected)) < len(texts) - 20
-    found = shingles.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block)
+    found = simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block)
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(expected))
 
 
@@ -63,6 +67,42 @@ def test_the_stage_drops_near_copies(spark):
 
 
 def test_awkward_and_empty_rows(spark):
-    found = shingles.near_duplicates(awkward(spark, True))
+    found = simhash.similar(awkward(spark, True))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"] or 0) for r in found.collect()) == sorted((i is None, i or 0, {2: 1, 6: 1, 4: 3}.get(i, i) or 0) for i, *_ in AWKWARD)
-    assert rows(shingles.near_duplicates(empty(spark))) == []
+    assert rows(simhash.similar(empty(spark))) == []
+
+
+def test_trees_find_all_within_the_radius():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 1 << 63, 700).astype(np.uint64)
+    values[:300] = values[0] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    for radius in (0, 3, 24):
+        found = {(int(a), int(b)) for i, j in PackedBKTree(values).within(values, radius) for a, b in zip(i, j, strict=True)}
+        i, j = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= radius)
+        assert found == set(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_sets_and_fingerprints_match_plain_ones():
+    texts = [None, "", "  ", "A b", "a  B\t", "a b c d e", "a b c d e f a b c d e f", "été Été x y z w v"]
+    members, offsets = shingles.shingle_sets(pa.array([t or "" for t in texts], pa.large_string()))
+    sets = [set(members[s:e].tolist()) for s, e in zip(offsets, offsets[1:], strict=False)]
+    assert [len(s) for s in sets] == [0, 0, 0, 1, 1, 1, 6, 3] and sets[3] == sets[4] and sets[5] < sets[6]
+    plain = [sum(1 << b for b in range(64) if sum(m >> b & 1 for m in s) * 2 > len(s)) for s in sets]
+    assert shingles.simhashes(members, offsets).tolist() == plain
+    for s, row in zip(sets, shingles.parities(members, offsets), strict=True):
+        odd = np.zeros(shingles.PARITIES, int)
+        for m in s:
+            odd[m % shingles.PARITIES] ^= 1
+        assert np.unpackbits(row, bitorder="little").tolist() == odd.tolist()
+
+
+def test_one_id_for_several_texts(spark):
+    texts = near_copies()[:60]
+    docs = spark.createDataFrame([(None if i % 3 else 5, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = simhash.similar(docs).groupBy("fp").count().count()
+    assert found == len({frozenset(s) for s in map(_plain, texts)})
+
+
+def _plain(t):
+    w = t.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
