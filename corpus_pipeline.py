@@ -1,6 +1,6 @@
 """Corpus preparation: five stages over ``documents``, each written as Parquet and read again by the next.
 
-Language ID drops documents without a recognisable language, toxicity drops toxic ones, shingle sets keep
+Language ID drops documents without a recognisable language, toxicity drops toxic ones, SimHash keeps
 one document of each near-duplicate group, decontamination drops documents that hold a benchmark
 passage, and packing places what is left in sequences.
 """
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontam, langid, packing, shingles, toxicity
+from cadenza.llm import decontam, langid, packing, simhash, toxicity
 from cadenza.llm.workspace import Workspace
 
 #: A document whose best language has a lower mean probability over its words is rejected.
@@ -35,8 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by 0.8 of its five-word shingles or more."""
-    return shingles.keep_one(docs)
+    """Keeps the document with the smallest id of each group whose five-word shingles are 0.8 alike or more."""
+    return simhash.keep_one(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
