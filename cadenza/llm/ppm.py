@@ -9,11 +9,13 @@ predicted; below the empty context all remaining byte values are equally likely.
 
 Pretrained scoring learns the counts of all training texts: of the longest order how often, of a
 shorter one behind how many different bytes (a symbol that a longer context predicts does not count
-again below). The discount of an order follows from how many entries occur once and twice. Escape and exclusion terms depend on the
-trie alone, so they are worked out once per context, and a text costs one table look-up per byte
-where the longest context knows the next byte. The trie that executors receive holds the most
-frequent ``MAX_GRAMS`` entries of each order; the mass of the others stays in the escapes. Adaptive
-scoring (``Adaptive``) learns from the text itself as it goes.
+again below). The discount of an order follows from how many entries occur once and twice. Nothing is
+cut off. Most bytes of a text stand in a frequent window of ``ORDER`` + 1 bytes, so executors hold the
+finished log probabilities of up to ``HEAD_GRAMS`` frequent ones. All other windows meet the whole trie:
+it is sharded by the last bytes of the context, which all contexts of a window share, so each task
+holds one part of the trie and scores what falls there; only the shortest orders, which bytes bound,
+travel whole. Escape and exclusion terms depend on the trie alone and are worked out once per context.
+Adaptive scoring (``Adaptive``) learns from the text itself as it goes.
 
 Beside it stands a unigram base: word counts over all training texts. Executors receive the counts
 of at most ``HEAD_WORDS`` frequent words; all other words of a document meet their counts in a join.
@@ -32,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.arrowtext import held, segment_sum, slices, texts_of
@@ -40,13 +42,17 @@ from cadenza.llm.sampling import fold
 from cadenza.llm.workspace import Workspace
 
 ORDER = 5
-MAX_GRAMS = 400_000
+HEAD_GRAMS = 400_000
+#: Entries of an order that may travel whole, beyond the two orders that bytes bound.
+LOW_GRAMS = 500_000
 HEAD_WORDS = 200_000
 END = 10  # a byte that no token contains
 #: Byte values a token sequence can hold: all but \\t, \\v, \\f and \\r; the end symbol is the line feed.
 ALPHABET = 252
 #: Entries a counting task holds before it sends them on.
 FLUSH = 1_000_000
+#: Bytes of text scored at once, and windows of them.
+SLICE_BYTES, TOGETHER = 2 << 20, 1 << 19
 
 
 def split(texts: pa.Array) -> pa.LargeListArray:
@@ -125,50 +131,40 @@ class Level:
 
 
 class Trie:
-    """Pretrained model from (gram, count, context total) tables of orders 0 to n, each kept set within the one below, and each order's discount."""
+    """Pretrained model from (gram, count) tables of orders 0 to n and each order's discount.
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], discounts: list[float]) -> None:
+    A part of a trie serves the windows whose contexts it holds: an order may lack contexts, but
+    those it has are whole, and so are their suffixes' in the orders below.
+    """
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], discounts: list[float]) -> None:
         self.levels: list[Level] = []
         below = None
-        for (grams, counts, totals), d in zip(tables, discounts, strict=True):
+        for (grams, counts), d in zip(tables, discounts, strict=True):
             order = np.argsort(grams)
-            grams, counts, totals = grams[order].astype(np.uint64), counts[order].astype(np.float64), totals[order].astype(np.float64)
-            contexts, first, size = np.unique(grams >> np.uint64(8), return_index=True, return_counts=True)
+            grams, counts = grams[order].astype(np.uint64), counts[order].astype(np.float64)
+            contexts, size = np.unique(grams >> np.uint64(8), return_counts=True)
             node = np.repeat(np.arange(len(contexts)), size)
-            total, distinct = totals[first] if len(first) else totals[:0], size.astype(np.float64)
-            kept = np.bincount(node, counts, minlength=len(contexts))
-            rest = total - kept
-            with np.errstate(divide="ignore"):
-                escape = np.log((d * distinct + rest) / total)
-                onward = share = np.zeros(len(contexts))
-                if below is not None:
-                    b_grams, b_counts, b_contexts, b_total, b_distinct, b_rest, b_d = below
-                    mask = np.uint64((1 << 8 * len(self.levels)) - 1)
-                    parent = np.searchsorted(b_contexts, contexts & (mask >> np.uint64(8)))
-                    at = np.searchsorted(b_grams, grams & mask)
-                    taken = np.bincount(node, b_counts[at], minlength=len(contexts))
-                    others = b_distinct[parent] - distinct
-                    whole = b_total[parent] - taken
-                    onward = np.where(whole > 0, np.log(np.maximum(b_d * others + b_rest[parent], 1e-300) / np.maximum(whole, 1e-300)), 0.0)
-                    share = np.log(np.maximum(whole, 1e-300))
+            total, distinct = np.bincount(node, counts, minlength=len(contexts)), size.astype(np.float64)
+            escape = np.log(d * distinct / total)
+            onward = share = np.zeros(len(contexts))
+            if below is not None:
+                b_grams, b_counts, b_contexts, b_total, b_distinct, b_d = below
+                mask = np.uint64((1 << 8 * len(self.levels)) - 1)
+                parent = np.searchsorted(b_contexts, contexts & (mask >> np.uint64(8)))
+                taken = np.bincount(node, b_counts[np.searchsorted(b_grams, grams & mask)], minlength=len(contexts))
+                others = b_distinct[parent] - distinct
+                whole = b_total[parent] - taken
+                onward = np.where(others > 0, np.log(np.maximum(b_d * others, 1e-300) / np.maximum(whole, 1e-300)), 0.0)
+                share = np.log(np.maximum(whole, 1e-300))
             log_count = np.log(counts - d)
             self.levels.append(Level(grams, log_count, log_count - np.log(total)[node], contexts, escape, onward, share))
-            below = grams, counts, contexts, total, distinct, rest, d
+            below = grams, counts, contexts, total, distinct, d
         self.order = len(tables) - 1
         self.symbols = len(self.levels[0].grams)
-        self.top = Lookup(self.levels[-1].grams)
 
     def log10_each(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each window's last byte."""
-        at = self.top.find(keys)
-        top = self.levels[-1].direct
-        out = top[at] if len(top) else np.zeros(len(keys))
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            out[miss] = self._below(keys[miss])
-        return out / math.log(10)
-
-    def _below(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys))
         node = np.full(len(keys), -1)
         open_ = np.arange(len(keys))
@@ -195,11 +191,7 @@ class Trie:
             node[open_] = np.where(here, at, node[open_])
             open_ = open_[~(here & seen)]
         out[open_] -= math.log(max(ALPHABET - self.symbols, 1))
-        return out
-
-    def score(self, texts: pa.Array) -> np.ndarray:
-        keys, offsets = windows(*padded(split(texts), self.order), self.order)
-        return segment_sum(self.log10_each(keys), offsets)
+        return out / math.log(10)
 
 
 class Adaptive:
@@ -288,35 +280,91 @@ def count(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFr
     return found.groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def _threshold(counts: DataFrame, most: int, least: int = 1) -> int:
-    """Smallest count that at most ``most`` rows reach, from the counts' own (short) histogram."""
-    rows = sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).where(F.col("n") >= least).collect()), reverse=True)
+def _threshold(counts: DataFrame, most: int) -> int:
+    """A count that at most ``most`` rows reach, about as small as can be, from a histogram in steps of an eighth of a power of two."""
+    step = F.floor(F.log2("n") * 8)
+    rows = counts.groupBy(step.alias("step")).agg(F.min("n").alias("least"), F.max("n").alias("top"), F.count(F.lit(1)).alias("k")).orderBy(F.desc("step")).collect()  # 504 rows at most
     total, found = 0, None
-    for n, k in rows:
-        total += k
+    for r in rows:
+        total += r["k"]
         if total > most:
             break
-        found = n
-    return found if found is not None else (rows[0][0] + 1 if rows else least)
+        found = r["least"]
+    return found if found is not None else (rows[0]["top"] + 1 if rows else 1)
+
+
+@dataclass
+class Model:
+    levels: list[DataFrame]  # (gram, c) by order, whole
+    discounts: list[float]
+    head: tuple[np.ndarray, np.ndarray]  # frequent windows and their log10 probabilities
+    low: list[tuple[np.ndarray, np.ndarray]]  # the shortest orders, which every shard needs
+
+    def shard(self) -> Column:
+        """Name of the part of the trie that holds all contexts of ``gram`` which ``low`` does not."""
+        return F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * len(self.low)) - 1))
 
 
-def build(ws: Workspace, counts: DataFrame, order: int = ORDER, most: int = MAX_GRAMS) -> Trie:
-    """The trie over (gram, n): at most ``most`` entries of each order reach the driver."""
+def build(ws: Workspace, counts: DataFrame, order: int = ORDER, most: int = HEAD_GRAMS, low_grams: int = LOW_GRAMS) -> Model:
+    """The model over counts(gram, n): at most ``most`` windows and the shortest orders reach the driver."""
     full = ws.save(counts.where("gram is not null").select("gram", "n", F.col("n").alias("c")), f"grams-{order}")
     levels = [full]
     for k in range(order - 1, -1, -1):
         shorter = levels[-1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram"))
         levels.append(ws.save(shorter.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")), f"grams-{k}"))
-    tables, discounts, least = [], [], 1
-    for grams in reversed(levels):
-        least = _threshold(grams, most, least)  # by frequency and never below a shorter order's, so that kept sets nest
-        kept = grams.where(F.col("n") >= least).withColumn("context", F.shiftright("gram", 8))
-        totals = grams.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("c").alias("total"))
-        found = kept.join(totals, "context").select("gram", "c", "total").toArrow()
-        tables.append(tuple(found.column(i).to_numpy() for i in range(3)))
-        few = grams.agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    levels.reverse()
+    discounts, sizes = [], []
+    for grams in levels:
+        few = grams.agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"), F.count(F.lit(1)).alias("all")).first()
         discounts.append(discount(few["once"], few["twice"]))
-    return Trie(tables, discounts)
+        sizes.append(few["all"])
+    # two bytes make 65,536 entries at most; a third order joins them if its size, known here, is small
+    bytes_ = min(order, 3 if order > 2 and sizes[2] <= low_grams else 2)
+    low = [_columns(grams.select("gram", "c")) for grams in levels[:bytes_]]
+    frequent = full.where(F.col("n") >= _threshold(full, most)).withColumn("context", F.shiftright("gram", 8))
+    totals = full.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("c").alias("total"))
+    direct = F.log10(F.col("c") - F.lit(discounts[-1])) - F.log10("total")
+    head = _columns(frequent.join(totals, "context").select("gram", direct.alias("direct")))
+    return Model([x.select("gram", "c") for x in levels], discounts, (head[0].astype(np.uint64), head[1]), low)
+
+
+def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = df.toArrow()
+    return table.column(0).to_numpy(), table.column(1).to_numpy()
+
+
+def resolve(windows_: DataFrame, model: Model) -> DataFrame:
+    """windows_(row, gram, times) → (row, score): sums of log10 probabilities by the whole trie, some rows in parts."""
+    spark, order, first = windows_.sparkSession, len(model.levels) - 1, len(model.low)
+    shared = spark.sparkContext.broadcast(pickle.dumps((model.low, model.discounts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: list[tuple[list, list]] = [([], []) for _ in range(order + 1)]
+        trie = None
+        for batch in batches:
+            kinds, grams, counts = (batch.column(i).to_numpy() for i in range(3))
+            for k in np.unique(kinds).tolist():
+                own = kinds == k
+                if k <= order:
+                    tables[k][0].append(grams[own])
+                    tables[k][1].append(counts[own])
+                    continue
+                if trie is None:
+                    low, discounts = pickle.loads(shared.value)
+                    empty_ = np.zeros(0, np.int64)
+                    upper = [(np.concatenate([*g, empty_]), np.concatenate([*c, empty_])) for g, c in tables[first:]]
+                    trie, tables = Trie([*low, *upper], discounts), []
+                rows, place = np.unique(batch.column(3).filter(pa.array(own)).to_numpy(), return_inverse=True)
+                found = trie.log10_each(grams[own].astype(np.uint64)) * counts[own]
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(place, found))], ["row", "score"])
+
+    none = F.lit(None).cast("long").alias("row")
+    union = windows_.select(F.lit(order + 1).alias("kind"), "gram", F.col("times").alias("c"), "row")
+    for k in range(first, order + 1):
+        union = union.unionByName(model.levels[k].select(F.lit(k).alias("kind"), "gram", "c", none))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the trie's entries come before the windows that need them
+    return union.repartition(parts, model.shard()).sortWithinPartitions("kind").mapInArrow(run, "row long, score double")
 
 
 def discount(once: int, twice: int) -> float:
@@ -324,12 +372,13 @@ def discount(once: int, twice: int) -> float:
     return min(max(once / (once + 2 * twice), 0.1), 0.95) if once + twice else 0.5
 
 
-def score(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, most: int = MAX_GRAMS, head_words: int = HEAD_WORDS) -> DataFrame:
+def score(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, most: int = HEAD_GRAMS, head_words: int = HEAD_WORDS, low_grams: int = LOW_GRAMS) -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``; counts come from all of ``learn``.
 
-    Whole texts, null as empty (one end token). Repeated rows and null ids stay; without rows to
-    learn from every token is unknown and the model is uniform over bytes; an empty table gives an
-    empty result.
+    Whole texts, however long, null as empty (one end token). Repeated rows and null ids stay; other
+    columns are ignored, whatever their names; without rows to learn from every token is unknown and
+    the model is uniform over bytes; an empty table gives an empty result. ``most``, ``head_words`` and
+    ``low_grams`` bound what executors hold and change no score.
     """
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "ppm")
     counts = ws.save(count(learn, text_col, order), "counts", "zstd")
@@ -339,16 +388,19 @@ def score(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: s
     total, distinct = sums["n"] + n_docs, sums["v"] + (n_docs > 0)
     bound = _threshold(words, head_words)
     head = words.where(F.col("n") >= bound).toArrow()  # at most head_words rows
-    trie = build(ws, counts, order, most) if n_docs else None
+    model = build(ws, counts, order, most, low_grams) if n_docs else None
     keys = pa.chunked_array(head.column("word").chunks, pa.string()).combine_chunks().cast(pa.large_string())
-    shared = spark.sparkContext.broadcast(pickle.dumps((trie, keys, head.column("n").to_numpy().astype(np.float64), n_docs)))
+    shared = spark.sparkContext.broadcast(pickle.dumps((model.head if model else None, keys, head.column("n").to_numpy().astype(np.float64), n_docs)))
     key = uuid.uuid4().hex
 
+    def load() -> tuple:
+        grams, names, n_head, n_docs = pickle.loads(shared.value)
+        return (Lookup(grams[0]), grams[1]) if grams else None, names, np.log10(np.concatenate([n_head, [n_docs]]) + 0.5), n_docs
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, names, n_head, n_docs = held(key, lambda: pickle.loads(shared.value))
-        logs = np.log10(np.concatenate([n_head, [n_docs]]) + 0.5)
+        frequent, names, logs, n_docs = held(key, load)
         row = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             parts = split(texts_of(batch, "text"))
             offsets = parts.offsets.to_numpy().astype(np.int64)
             coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
@@ -363,16 +415,17 @@ def score(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: s
             rare = np.flatnonzero((known < 0) & real)
             doc = np.repeat(np.arange(len(tokens)), np.diff(offsets))[rare]
             pairs, tf = np.unique(doc * max(len(distinct), 1) + codes[rare], return_counts=True)
-            bounds = np.searchsorted(pairs, np.arange(len(tokens) + 1) * max(len(distinct), 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), distinct.take(pa.array(pairs % max(len(distinct), 1))).cast(pa.string()))
-            times = pa.ListArray.from_arrays(pa.array(bounds), pa.array(tf.astype(np.int64)))
-            keys, places = windows(*padded(parts, trie.order if trie else 0), trie.order if trie else 0)
-            own = segment_sum(trie.log10_each(keys), places) if trie else -math.log10(ALPHABET) * np.diff(places)
+            word_list, times = _by_doc(pairs // max(len(distinct), 1), len(tokens), distinct.take(pa.array(pairs % max(len(distinct), 1))).cast(pa.string()), tf)
+            own, grams = _head_scores(frequent, *padded(parts, order), order)
+            gram_list, gram_times = _by_doc(grams[0], len(tokens), pa.array(grams[1]), grams[2])
             ids = pa.array(row + np.arange(len(tokens)))
             row += len(tokens)
-            yield pa.RecordBatch.from_arrays([ids, batch.column(0), pa.array(tokens), pa.array(in_head), pa.array(base), pa.array(own), lists, times], ["row", "id", "n_tokens", "known", "base", "score", "words", "times"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, batch.column(0), pa.array(tokens), pa.array(in_head), pa.array(base), pa.array(own), word_list, times, gram_list, gram_times],
+                ["row", "id", "n_tokens", "known", "base", "score", "words", "times", "grams", "gram_times"],
+            )
 
-    schema = "row long, id long, n_tokens long, known long, base double, score double, words array<string>, times array<long>"
+    schema = "row long, id long, n_tokens long, known long, base double, score double, words array<string>, times array<long>, grams array<long>, gram_times array<long>"
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scored = ws.save(source.mapInArrow(run, schema), "scored", "zstd")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
@@ -380,13 +433,57 @@ def score(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: s
     met = rare.join(words.where(F.col("n") < bound), "word", "left")
     count_ = F.coalesce("n", F.lit(0))
     extra = met.groupBy("row").agg(F.sum(F.when(count_ > 0, F.col("times")).otherwise(0)).alias("known_more"), F.sum(F.col("times") * F.log10(count_ + 0.5)).alias("base_more"))
+    out = scored.select("row", "id", "n_tokens", "known", "base", "score").join(extra, "row", "left")
+    if model:
+        left = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.gram_times").alias("times"))
+        out = out.join(resolve(left, model).groupBy("row").agg(F.sum("score").alias("score_more")), "row", "left")
+    else:
+        out = out.withColumn("score_more", F.lit(0.0))
     norm = math.log10(total + 0.5 * (distinct + 1))
-    return scored.drop("words", "times").join(extra, "row", "left").select(
+    return out.select(
         F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("known_more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("base_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+        (F.col("score") + F.coalesce("score_more", F.lit(0.0))).alias("score"),
     )
 
 
+def _by_doc(doc: np.ndarray, docs: int, values: pa.Array, times: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Lists of values and of their times for each text; ``doc`` ascends."""
+    bounds = pa.array(np.searchsorted(doc, np.arange(docs + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(bounds, values), pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int64)))
+
+
+def _head_scores(frequent: tuple[Lookup, np.ndarray] | None, data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(sum of each text's frequent windows, (text, window, times) of all others); without a model every byte value is alike."""
+    docs = len(offsets) - 1
+    out = np.zeros(docs)
+    none = np.zeros(0, np.int64)
+    if frequent is None:
+        return -math.log10(ALPHABET) * (np.diff(offsets) - order), (none, none, none)
+    table, logs = frequent
+    left: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(order, len(data), TOGETHER):  # positions of symbols, those of the padding left out
+        spots = np.arange(at, min(at + TOGETHER, len(data)))
+        doc = np.searchsorted(offsets, spots, "right") - 1
+        symbol = spots - offsets[doc] >= order
+        keys = np.zeros(len(spots), np.uint64)
+        for k in range(order, -1, -1):
+            keys <<= np.uint64(8)
+            keys |= data[at - k : at - k + len(spots)]
+        keys, doc = keys[symbol], doc[symbol]
+        found = table.find(keys)
+        hit = found >= 0
+        out += np.bincount(doc[hit], logs[found[hit]], minlength=docs)
+        left.append((doc[~hit], keys[~hit].view(np.int64)))
+    if not left:
+        return out, (none, none, none)
+    doc, keys = (np.concatenate([x[i] for x in left]) for i in range(2))
+    order_ = np.lexsort((keys, doc))
+    doc, keys = doc[order_], keys[order_]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])])) if len(doc) else none
+    return out, (doc[first], keys[first], np.diff(np.concatenate([first, [len(doc)]])))
+
+
 def score_adaptive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """id_col and score: each text's log10 probability under a model that starts empty and learns from that text."""
 

@@ -204,8 +204,8 @@ def test_scores_match_brute_force(spark):
     low = lambda t: (t or "").lower().split()
     counts = Counter(w for t in learn for w in [*low(t), None])
     total, distinct = sum(counts.values()), len(counts)
-    for head in (200_000, 2):
-        for r in ppm.score(docs, source, order=order, head_words=head).collect():
+    for head, most, whole in ((200_000, 400_000, 500_000), (2, 5, 0), (2, 0, 500_000)):
+        for r in ppm.score(docs, source, order=order, head_words=head, most=most, low_grams=whole).collect():
             data = b"\n" * order + " ".join(low(score[r["doc_id"]])).encode() + b"\n"
             expected = sum(math.log10(probability(data[i - order : i], data[i])) for i in range(order, len(data)))
             tokens = [*low(score[r["doc_id"]]), None]
@@ -214,12 +214,14 @@ def test_scores_match_brute_force(spark):
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), total)
 
 
-def test_probabilities_sum_to_one_with_a_cut_trie(spark):
+def test_probabilities_sum_to_one(spark):
     from cadenza.llm.workspace import Workspace
 
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat sat on the mat and the dog sat on the log", "a cat and a hat"] * 3)], "doc_id long, text string")
     for most in (10, 1000):
-        trie = ppm.build(Workspace(spark, "t"), ppm.count(docs, order=3), 3, most)
+        model = ppm.build(Workspace(spark, "t"), ppm.count(docs, order=3), 3, most)
+        trie = ppm.Trie([ppm._columns(x) for x in model.levels], model.discounts)
+        assert len(model.head[0]) <= most and model.head[1] == pytest.approx(trie.log10_each(model.head[0]))
         values = [b for b in range(256) if b not in (9, 11, 12, 13)]
         for context in (b"the", b"at ", b"\n\n\n", b"zzz", b"zth"):
             keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in values], np.uint64)
