@@ -94,12 +94,20 @@ class Codes:
         return with_code / factor[:, None], width
 
 
-def _fields(dim: int, words: int, sig: int) -> list[tuple]:
-    return [("vector", "<f4", (dim,)), ("code", "<u8", (words,)), ("factor", "<f8"), ("signs", "u1", (sig,))]
+def _fields(dim: int, words: int, sig: int, kind: str) -> list[tuple]:
+    return [("vector", kind, (dim,)), ("code", "<u8", (words,)), ("factor", "<f8"), ("signs", "u1", (sig,))]
 
 
-def _keyed(classes: DataFrame, bits: int, tables: int, only_hot: DataFrame | None = None) -> DataFrame:
-    """classes(class, n, vector array<float>) → (bucket, side, table, class, n, packed), one row per table."""
+def _bucket(keys: np.ndarray, table: int, dim: int) -> np.ndarray:
+    """64-bit names of buckets; one that two keys share by chance would only count their pairs there."""
+    x = keys.astype(np.uint64) + np.uint64((dim * 0x9E3779B97F4A7C15 + table * 0xBF58476D1CE4E5B9) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _keyed(classes: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
+    """classes(class, n, vector of ``kind`` components) → (bucket, table, class, n, dim, packed), one row per table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, tuple] = {}
@@ -110,7 +118,7 @@ def _keyed(classes: DataFrame, bits: int, tables: int, only_hot: DataFrame | Non
                 sizes = lists.value_lengths().to_numpy()
                 for dim in np.unique(sizes).tolist():
                     rows = np.flatnonzero(sizes == dim)
-                    vectors = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+                    vectors = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
                     if dim not in made:
                         made[dim] = Codes(dim), hyperplanes(dim, bits * tables)
                     codes, planes = made[dim]
@@ -118,17 +126,17 @@ def _keyed(classes: DataFrame, bits: int, tables: int, only_hot: DataFrame | Non
                     signs = unit @ planes.T > 0
                     code, factor = codes.encode(unit)
                     packed_signs = np.packbits(signs, axis=1, bitorder="little")
-                    packed = np.zeros(len(rows), np.dtype(_fields(dim, code.shape[1], packed_signs.shape[1])))
+                    packed = np.zeros(len(rows), np.dtype(_fields(dim, code.shape[1], packed_signs.shape[1], kind)))
                     packed["vector"], packed["code"], packed["factor"], packed["signs"] = vectors, code, factor, packed_signs
                     raw = packed.tobytes()
                     size = packed.dtype.itemsize
                     blobs = pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())
                     keys = _keys(signs, bits, tables)
+                    own = [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(np.full(len(rows), dim, np.int32)), blobs]
                     for t in range(tables):
-                        bucket = (keys[:, t].astype(np.uint64) | np.uint64(t << 48)) ^ np.uint64(dim << 56)
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(np.full(len(rows), t, np.int32)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), blobs], ["bucket", "table", "class", "n", "packed"])
+                        yield pa.RecordBatch.from_arrays([pa.array(_bucket(keys[:, t], t, dim)), pa.array(np.full(len(rows), t, np.int32)), *own], ["bucket", "table", "class", "n", "dim", "packed"])
 
-    return classes.select("class", "n", "vector").mapInArrow(run, "bucket long, table int, class long, n long, packed binary")
+    return classes.select("class", "n", "vector").mapInArrow(run, "bucket long, table int, class long, n long, dim int, packed binary")
 
 
 def _keys(signs: np.ndarray, bits: int, tables: int) -> np.ndarray:
@@ -169,7 +177,7 @@ def _pairs(table: int, left: np.ndarray, right: np.ndarray, same: bool, bits: in
 _LINKS = pa.schema([("class", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("bucket", pa.int64()), ("size", pa.int64())])
 
 
-def _compare(ids: np.ndarray, n: np.ndarray, packed: list[bytes], table: int, bits: int, tables: int, threshold: float, sides: np.ndarray | None = None) -> pa.RecordBatch | None:
+def _compare(ids: np.ndarray, n: np.ndarray, dims: np.ndarray, packed: list[bytes], table: int, bits: int, tables: int, threshold: float, kind: str, sides: np.ndarray | None = None) -> pa.RecordBatch | None:
     """Links within one bucket, or between the two sides of one pair of blocks."""
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
@@ -179,13 +187,9 @@ def _compare(ids: np.ndarray, n: np.ndarray, packed: list[bytes], table: int, bi
             i = root[i]
         return i
 
-    sizes = np.fromiter(map(len, packed), np.int64, len(packed))
-    for size in np.unique(sizes).tolist():
-        own = np.flatnonzero(sizes == size)
-        sig = -(-bits * tables // 8)
-        # size = 4 dim + 8 words + 8 + sig, words = ceil(dim / 64)
-        dim = next(d for d in range(1, size // 4 + 1) if 4 * d + 8 * -(-d // 64) + 8 + sig == size)
-        rows = np.frombuffer(b"".join(packed[i] for i in own.tolist()), np.dtype(_fields(dim, -(-dim // 64), sig)))
+    for dim in np.unique(dims).tolist():
+        own = np.flatnonzero(dims == dim)
+        rows = np.frombuffer(b"".join(packed[i] for i in own.tolist()), np.dtype(_fields(dim, -(-dim // 64), -(-bits * tables // 8), kind)))
         part = [own, own] if sides is None else [own[sides[own] == s] for s in (0, 1)]
         where = np.empty(len(ids), np.int64)
         where[own] = np.arange(len(own))
@@ -246,29 +250,36 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n_links counts the other rows whose cosine with this one reaches the threshold; component_id is
     the smallest id reachable over links, the row's own included; kept marks the row that bears it.
     Vectors that are null, empty, zero or hold a null, NaN or infinity link with nothing; vectors of
-    different lengths do not link. Equal vectors link with each other whatever their ids; null ids
+    different lengths, however long, do not link. Equal vectors link with each other whatever their ids; null ids
     keep their row and name a component only if nothing else does. An empty table gives an empty
     result; other columns are ignored.
     """
     spark, ws = vectors.sparkSession, Workspace(vectors.sparkSession, "embeddings")
     v = F.col("vector")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    # components of other types than float are compared as doubles
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector"))
     source = source.withColumn("sound", F.coalesce(sound, F.lit(False)))
     grouped = source.where("sound").groupBy("vector").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     classes = ws.save(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
     bits, tables = layout(classes.count(), threshold, miss, bucket)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
+    def columns(held: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        ids, n, dims, packed = zip(*held, strict=True)
+        return np.array(ids), np.array(n), np.array(dims), list(packed)
+
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held, size in _runs(batches, 2, split):
             if size > split:
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([key[0]], pa.int64()), pa.array([size], pa.int64())], schema=_LINKS)
-            elif size > 1 and (out := _compare(np.array([r[0] for r in held]), np.array([r[1] for r in held]), [r[2] for r in held], key[1], bits, tables, threshold)) is not None:
+            elif size > 1 and (out := _compare(*columns(held), key[1], bits, tables, threshold, kind)) is not None:
                 yield out
 
     schema = "class long, links long, root long, bucket long, size long"
-    keyed = _keyed(classes, bits, tables)
+    keyed = _keyed(classes, bits, tables, kind)
     found = ws.save(keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "table").mapInArrow(small, schema), "links")
     hot = found.where("bucket is not null").select("bucket", F.ceil(F.col("size") / (split // 2)).cast("int").alias("blocks"))
     links = found.where("bucket is null").select("class", "links", "root")
@@ -277,13 +288,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (_, i, j, table), held, _ in _runs(batches, 4, None):
                 sides = None if i == j else np.array([r[0] for r in held])
-                out = _compare(np.array([r[1] for r in held]), np.array([r[2] for r in held]), [r[3] for r in held], table, bits, tables, threshold, sides)
+                out = _compare(*columns([r[1:] for r in held]), table, bits, tables, threshold, kind, sides)
                 if out is not None:
                     yield out
 
         rows = keyed.join(hot, "bucket").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "table", (F.col("block") > F.col("other")).cast("int").alias("side"), "class", "n", "packed")
+        rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "table", (F.col("block") > F.col("other")).cast("int").alias("side"), "class", "n", "dim", "packed")
         pairs = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "table")
         links = links.unionByName(ws.save(pairs.mapInArrow(dealt, schema), "links-hot").select("class", "links", "root"))
     groups = connected_components(ws, links.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")

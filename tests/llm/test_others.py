@@ -94,6 +94,27 @@ def test_embedding_groups_match_all_pairs(spark, bucket, split):
     assert found == plain_groups(ids, vectors, 0.9)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_long_vectors_and_recall_at_the_default_miss(spark, kind):
+    rng = np.random.default_rng(5)
+    vectors = []
+    for dim in (100, 255, 256, 384, 768, 1024):
+        base = rng.normal(size=(25, dim))
+        near = base[rng.integers(0, 25, 60)] + rng.normal(size=(60, dim)) * rng.choice([0.1, 0.3, 0.45, 0.48], 60)[:, None]
+        vectors += [list(map(float, v)) for v in (*base, *near)]
+    if kind == "double":
+        vectors = [[x * 1e60 for x in v] for v in vectors]
+    df = spark.createDataFrame(list(enumerate(vectors)), f"vec_id long, embedding array<{kind}>")
+    found = embed_dedup.near_duplicates(df, bucket=16).collect()
+    unit = [np.array(v, np.float32 if kind == "float" else float).astype(float) for v in vectors]
+    unit = [u / np.abs(u).max() for u in unit]
+    unit = [u / np.linalg.norm(u) for u in unit]
+    links = [sum(len(u) == len(w) and i != j and u @ w >= 0.9 for j, w in enumerate(unit)) for i, u in enumerate(unit)]
+    assert sum(links) > 300
+    counted = {r["vec_id"]: r["n_links"] for r in found}
+    assert all(counted[i] <= n for i, n in enumerate(links)) and sum(counted.values()) >= 0.99 * sum(links)
+
+
 def test_no_embeddings(spark):
     assert rows(embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))) == []
 
