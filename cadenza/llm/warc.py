@@ -21,6 +21,8 @@ from cadenza.llm.workspace import Workspace
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: What some reader takes for the end of a line, percent-encoded in URLs.
+_BREAKS = (("\r", "%0D"), ("\n", "%0A"), ("\v", "%0B"), ("\f", "%0C"), ("\x1c", "%1C"), ("\x1d", "%1D"), ("\x1e", "%1E"), ("\x85", "%C2%85"), ("\u2028", "%E2%80%A8"), ("\u2029", "%E2%80%A9"))
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
@@ -41,7 +43,9 @@ def record_id(page_id: Column) -> Column:
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
     """Write the archive of ``pages``; payloads of fewer than ``least_bytes`` bytes never make revisits.
 
-    A null payload is empty and a null URL is left out of the header. Rows that repeat the largest id
+    A null payload is empty and a null URL is left out of the header; line breaks of any kind in a URL
+    are percent-encoded. Payloads are whole, however long; other columns are ignored, whatever their
+    names; an empty table makes an empty archive. Rows that repeat the largest id
     of a payload are each a response; a null id is a revisit beside any other id and a response
     otherwise.
     """
@@ -58,7 +62,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     revisit = (F.col("bytes") >= least_bytes) & F.col("response").isNotNull() & ~F.col("page").eqNullSafe(F.col("response"))
     joined = joined.withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    url = F.regexp_replace("url", "[\\r\\n]", " ")
+    url = F.col("url")
+    for char, code in _BREAKS:
+        url = F.replace(url, F.lit(char), F.lit(code))
     header = F.concat_ws(
         "",
         F.lit("WARC/1.1\r\n"),
@@ -77,8 +83,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def field(header: Column, name: str) -> Column:
-    """Value of a header field, null if absent."""
-    return F.nullif(F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)\r?$", 1), F.lit(""))
+    """Value of a header field, null if absent. Lines end at CR LF only, whatever else a value holds."""
+    return F.nullif(F.regexp_extract(header, rf"(?s)\r\n{name}: (.*?)\r\n", 1), F.lit(""))
 
 
 def verified_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -151,11 +157,26 @@ def parse(data: bytes) -> Iterator[tuple[bytes, bytes]]:
             at += 2
 
 
+def account(rebuilt: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of ``records``, whose lengths and digests must agree with their headers."""
+    h = F.col("header")
+    digest = base32(F.sha1("payload"))
+    sound = (field(h, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), digest)) & (field(h, "Content-Length") == F.octet_length("block").cast("string"))
+    return rebuilt.select(
+        field(h, "WARC-Page-ID").cast("long").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.when(sound, digest).otherwise(F.raise_error(F.lit("a record does not match its header"))).alias("payload_digest"),
+        field(h, "WARC-Type").alias("record_type"), field(h, "WARC-Refers-To-Page-ID").cast("long").alias("refers_to"),
+    )
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Write the archive into the shared folder and read it back; see ``write`` and ``index``."""
+    """Write the archive into the shared folder, rebuild every record and tell what it holds; see ``write`` and ``account``.
+
+    One row per row of ``pages``; an empty table gives an empty result.
+    """
     path = Workspace(pages.sparkSession, "warc").path("archive")
     write(pages, path, id_col, url_col, payload_col, least_bytes)
-    return index(pages.sparkSession, path)
+    return account(records(pages.sparkSession, path))
 
 
 ORACLE = """

@@ -34,6 +34,13 @@ def test_warc_index_matches_a_plain_account(spark):
     assert rows(warc.round_trip(spark.createDataFrame([], PAGES))) == []
 
 
+def test_hostile_urls_do_not_forge_fields(spark):
+    breaks = ["\r\n", "\n", "\r", "\u2028", "\u2029", "\x85", "\v", "\f", "\x1c", "\x1d", "\x1e"]
+    urls = [f"http://a{b}WARC-Page-ID: 77{b}WARC-Type: revisit{b}{b}x" for b in breaks]
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], PAGES)
+    assert [r[:2] + r[3:] for r in rows(warc.round_trip(df))] == sorted([(i, len(f"page {i}"), "response", None) for i in range(len(urls))], key=lambda r: repr((r[0],)))
+
+
 def test_warc_files_rebuild_records(spark, tmp_path):
     df = spark.createDataFrame(ROWS, PAGES)
     warc.write(df, f"{tmp_path}/a")
