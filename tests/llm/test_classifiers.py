@@ -112,11 +112,56 @@ def test_toxicity_of_awkward_rows(spark, tables):
     assert toxicity.score(docs, none).count() == docs.count()
 
 
-def test_shared_counts_sum_to_one():
-    rows = corpus(120, 4)
-    texts, y = [r[1] for r in rows], np.array([r[5] for r in rows])
-    model = toxicity._count(texts, y, toxicity._families(texts), 0.75, 0.3)
-    assert np.allclose(model.first.sum(axis=1), 1, atol=1e-6)
+@pytest.mark.parametrize("sigmas", [0.0, 2.0])
+def test_class_probabilities_match_slow_ones_and_sum_to_one(sigmas):
+    rows = corpus(60, 4)
+    texts, y = [r[1] for r in rows], [r[5] for r in rows]
+    families = np.arange(len(texts)) // 2  # pairs of texts count as copies
+    model = toxicity._count(texts, np.array(y), families).model(sigmas)
+    vocabulary = ["?", *model.vocabulary]
+    told = [[w if w in model.vocabulary else "?" for w in t.split()] for t in texts]
+    words, pairs = [{}, {}], [{}, {}]
+    for t, c, f in zip(told, y, families, strict=True):
+        for h, w in zip(["?", *t], t):
+            words[c].setdefault(w, set()).add(f)
+            pairs[c].setdefault((h, w), set()).add(f)
+    n = [{w: len(words[c].get(w, ())) for w in vocabulary} for c in (0, 1)]
+    m = [{p: len(pairs[c].get(p, ())) for p in {*pairs[0], *pairs[1]}} for c in (0, 1)]
+
+    def lift(count, expected):
+        apart = count - expected
+        less = max(abs(apart) - sigmas * (expected + 0.5) ** 0.5, 0) * (1 if apart > 0 else -1)
+        return (max(expected + less, 0) + 0.5) / (expected + 0.5)
+
+    everything = sum(sum(x.values()) for x in n)
+    own = [{w: 1.0 if w == "?" else lift(n[c][w], sum(n[c].values()) * (n[0][w] + n[1][w]) / everything) for w in vocabulary} for c in (0, 1)]
+    heads = {w: sum(1 for _, v in m[0] if v == w) + 0.5 for w in vocabulary}
+    shared = {w: x / sum(heads.values()) for w, x in heads.items()}
+
+    def after(c, h):
+        follow = {w: m[0][g, w] + m[1][g, w] for g, w in m[0] if g == h and h != "?"}
+        total = sum(follow.values())
+        weight = {w: shared[w] * own[c][w] * (toxicity.DISCOUNT * len(follow) / total if follow else 1) for w in vocabulary}
+        for w, k in follow.items():
+            at = [sum(m[d][h, v] for v in follow) * own[d][w] for d in (0, 1)]
+            expected = at[c] * k / sum(at)
+            weight[w] += (k - toxicity.DISCOUNT) / total * lift(m[c][h, w], expected) * own[c][w]
+        return {w: x / sum(weight.values()) for w, x in weight.items()}
+
+    for h in ["?", "zorp", told[0][0], told[1][1]]:
+        found = np.exp([model.log_likelihoods(pa.array([f"{h} {w}" if h != "?" else w]))[0][:, -1] for w in vocabulary[1:]] + [model.log_likelihoods(pa.array([f"{h} unheardof" if h != "?" else "unheardof"]))[0][:, -1]])
+        for c in (0, 1):
+            slow = after(c, h)
+            assert np.allclose(found[:, c], [slow[w] for w in [*vocabulary[1:], "?"]]) and found[:, c].sum() == pytest.approx(1)
+
+
+def test_equal_texts_tie_and_repeats_stay(spark, tables):
+    _, docs, labels = tables
+    model = toxicity.train(docs, labels, sample_rows=200)
+    model.slope = model.shift = 0.0  # everything scores one half
+    twice = docs.limit(20).unionAll(docs.limit(20))
+    found = toxicity.score(twice, model).collect()
+    assert len(found) == 40 and {r["score"] for r in found} == {0.5}
 
 
 def test_near_copies_share_a_family():
