@@ -2,17 +2,63 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from cadenza.operators.folds import neighbours
+
+
+class _Matcher:
+    """One pass over a merged timeline: predictions wait until all truths within reach have come."""
+
+    def __init__(self, tol: int | float) -> None:
+        self.tol = tol
+        self.truths: list[tuple] = []  # unused, by (time, number in the list)
+        self.waiting: deque = deque()
+
+    def see(self, t, no: int | None) -> Iterator[tuple]:
+        while self.waiting and t - self.waiting[0] > self.tol:
+            yield from self.settle(self.waiting.popleft())
+        if no is None:
+            self.waiting.append(t)
+        else:
+            self.truths.append((t, no))
+
+    def rest(self) -> Iterator[tuple]:
+        while self.waiting:
+            yield from self.settle(self.waiting.popleft())
+
+    def settle(self, p) -> Iterator[tuple]:
+        own, gone = self.truths, 0
+        while gone < len(own) and p - own[gone][0] > self.tol:
+            gone += 1
+        del own[:gone]
+        at = bisect_left(own, (p,))
+        best = None
+        if at:
+            best = (own[at - 1][0] - p, own[at - 1][1], at - 1)
+        if at < len(own):
+            last = bisect_right(own, (own[at][0], float("inf"))) - 1
+            right = (p - own[at][0], own[last][1], last)
+            best = right if best is None else max(best, right)
+        if best and -best[0] <= self.tol:
+            yield p, own.pop(best[2])[0]
+
 
 def greedy_match(pred: DataFrame, truth: DataFrame, keys: list[str], time: str, tol: int | float) -> DataFrame:
     """keys, pred_time, truth_time: predictions in ascending order each take the nearest unused truth within ``tol``.
 
     At equal distance the later truth in list order wins; ``truth`` may carry ``list_no`` for that order, else
     time is the order. Merged timelines are cut where successive events lie further apart than ``tol``:
-    no match spans such a gap, so each stretch is folded on its own.
+    no match spans such a gap, so each stretch is one pass over sorted rows that holds what lies within
+    ``tol``.
     """
     listed = truth if "list_no" in truth.columns else truth.withColumn("list_no", F.row_number().over(Window.partitionBy(*keys).orderBy(time)))
     both = pred.select(*keys, F.col(time).alias("_t"), F.lit(None).cast("int").alias("_no")).unionByName(listed.select(*keys, F.col(time).alias("_t"), F.col("list_no").cast("int").alias("_no")))
@@ -20,23 +66,30 @@ def greedy_match(pred: DataFrame, truth: DataFrame, keys: list[str], time: str,
     since = F.col("_t") - F.lag("_t").over(w)
     both = both.withColumn("_since", since)
     both = both.withColumn("_part", F.sum((F.col("_since").isNull() | (F.col("_since") > tol)).cast("int")).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    grouped = both.groupBy(*keys, "_part").agg(
-        F.sort_array(F.collect_list(F.when(F.col("_no").isNull(), F.col("_t")))).alias("_pred"),
-        F.collect_list(F.when(F.col("_no").isNotNull(), F.struct(F.col("_no").alias("no"), F.col("_t").alias("t")))).alias("_truth"),
-    )
-    kind = both.schema["_t"].dataType.simpleString()
-    start = F.struct(F.col("_truth").alias("left"), F.array().cast(f"array<struct<p:{kind},g:{kind}>>").alias("pairs"))
-
-    def step(acc: Column, p: Column) -> Column:
-        near = F.filter(acc["left"], lambda g: F.abs(g["t"] - p) <= tol)
-        best = F.array_max(F.transform(near, lambda g: F.struct((-F.abs(g["t"] - p)).alias("d"), g["no"].alias("no"), g["t"].alias("t"))))
-        return F.when(F.size(near) == 0, acc).otherwise(
-            F.struct(F.filter(acc["left"], lambda g: g["no"] != best["no"]).alias("left"), F.concat(acc["pairs"], F.array(F.struct(p.alias("p"), best["t"].alias("g")))).alias("pairs"))
-        )
-
-    some = grouped.where((F.size("_pred") > 0) & (F.size("_truth") > 0))
-    pairs = F.aggregate("_pred", start, step, lambda acc: acc["pairs"])
-    return some.select(*keys, F.explode(pairs).alias("_x")).select(*keys, F.col("_x.p").alias("pred_time"), F.col("_x.g").alias("truth_time"))
+    rows = both.where("_t is not null").select(*keys, "_t", "_no", F.xxhash64(*keys, "_part").alias("_run"))
+    kind = rows.schema["_t"].dataType
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("pred_time", kind), T.StructField("truth_time", kind)])
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, matcher, own, types = None, _Matcher(tol), (), None
+        for batch in batches:
+            types = batch.schema.types[: n + 1]
+            pairs: list[tuple] = []
+            for i, (t, no, name) in enumerate(zip(*(batch.column(n + c).to_pylist() for c in range(3)), strict=True)):
+                if name != current:
+                    pairs += [(*own, *x) for x in matcher.rest()]
+                    current, matcher, own = name, _Matcher(tol), tuple(batch.column(c)[i].as_py() for c in range(n))
+                pairs += [(*own, *x) for x in matcher.see(t, no)]
+            yield made(pairs, types)
+        if types is not None:
+            yield made([(*own, *x) for x in matcher.rest()], types)
+
+    def made(pairs: list[tuple], types: list) -> pa.RecordBatch:
+        columns = list(zip(*pairs, strict=True)) or [()] * (n + 2)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [*types, types[n]], strict=True)], [*keys, "pred_time", "truth_time"])
+
+    return rows.repartition("_run").sortWithinPartitions("_run", "_t", "_no").mapInArrow(run, schema)
 
 
 def scores(matched: DataFrame, pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,9 +116,17 @@ def trap_hits(pred: DataFrame, traps: DataFrame, keys: list[str], time: str, tol
 
 
 def covered(df: DataFrame, spans: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """Adds ``covered``: whether any closed span holds the time; true where a key has no spans."""
-    held = spans.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    return df.join(held, keys, "left").withColumn("covered", F.coalesce(F.exists("_spans", lambda s: F.col(time).between(s["lo"], s["hi"])), F.lit(True))).drop("_spans")
+    """Adds ``covered``: whether any closed span holds the time; true where a key has no spans.
+
+    One merged pass: a time is covered if some span that began by then reaches it.
+    """
+    both = df.withColumn("_own", F.lit(1)).withColumn("_at", F.col(time).cast("double"))
+    starts = spans.where("lo is not null and hi is not null").select(*keys, F.lit(0).alias("_own"), F.col("lo").cast("double").alias("_at"), F.col("hi").cast("double").alias("_hi"))
+    both = both.unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy(*keys)
+    reach = F.max("_hi").over(w.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_reach", reach).withColumn("_some", F.max("_hi").over(w))
+    return both.where("_own = 1").withColumn("covered", F.col("_some").isNull() | F.coalesce(F.col("_at") <= F.col("_reach"), F.lit(False))).drop("_own", "_at", "_hi", "_reach", "_some")
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, tol: int | float) -> DataFrame:
@@ -74,11 +135,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, tol:
     One merged pass with the last right event before and the first after; no range join.
     """
     both = left.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_own")).unionByName(right.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_own")))
-    other = F.when(F.col("_own") == 0, F.col("_t"))
-    w = Window.partitionBy(*keys).orderBy("_t")
-    both = both.withColumn("_b", F.max(other).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.min(other).over(w.rangeBetween(0, Window.unboundedFollowing)))
-    before, after = F.col("_t") - F.col("_b"), F.col("_a") - F.col("_t")
-    pick = F.when(F.coalesce(before <= after, before.isNotNull()), F.when(before <= tol, F.col("_b"))).otherwise(F.when(after <= tol, F.col("_a")))
+    both = neighbours(both, keys, "_t", F.when(F.col("_own") == 0, F.col("_t")))
+    before, after = F.col("_t") - F.col("_before"), F.col("_after") - F.col("_t")
+    pick = F.when(F.coalesce(before <= after, before.isNotNull()), F.when(before <= tol, F.col("_before"))).otherwise(F.when(after <= tol, F.col("_after")))
     return both.where("_own = 1").select(*keys, F.col("_t").alias(time), pick.alias("match_time"))
 
 
