@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import timecode
 from cadenza.operators import eventlist, folds, series
+from cadenza.operators.matching import nearest
+from cadenza.operators.runs import DETECTOR_IDS
+from cadenza.sources.frames import colour_scores
 
 #: Microseconds stand for seconds wherever a density window is taken.
 _US = 1_000_000
@@ -84,15 +88,43 @@ def structural_refine(cuts: DataFrame, edges: DataFrame, keys: list[str], ratio:
     marked = eventlist.dense_chains(us, keys, "_us", int(window * _US / 2), most, int(merge * _US))
     peak = F.max("value").over(series._w(keys, "step", -1, 1))
     signal = edges.withColumn("_peak", peak).withColumn("_us", F.rint(F.col("time") * _US).cast("long"))
-    from cadenza.operators.matching import nearest
-
     near = nearest(marked.where("in_region").select(*keys, "_us"), signal.select(*keys, "_us"), keys, "_us", 1 << 60)
     flash = near.join(signal.select(*keys, F.col("_us").alias("match_time"), "_peak"), [*keys, "match_time"]).where(F.col("_peak") < ratio)
     return marked.join(flash.select(*keys, "_us"), [*keys, "_us"], "left_anti").select(*keys, "time")
 
 
-#: Detectors by name; each takes a table of its own kind of series and key columns.
+def detect_colour(frames: DataFrame, keys: list[str], step: str = "frame", pixels: str = "pixels", fps: float = 24.0, value_weight: float = 0.1, ratio: float = 3.0, floor: float = 0.045, radius: int = 15) -> DataFrame:
+    """The colour-change detector from pixels: scores are numbered by the frame before the change."""
+    scores = colour_scores(frames, keys, step, pixels, value_weight)
+    numbered = scores.select(*keys, (F.col(step) - 1).alias(step), "score")
+    return detect_spikes(numbered, keys, step, "score", fps, ratio, floor, radius)
+
+
+def _timed(cuts: DataFrame, keys: list[str], step: str, fps: float) -> DataFrame:
+    return minimal_events(cuts.withColumn("_t", timecode.frame_time(step, fps)), keys, "_t", step)
+
+
+def detect_content(changes: DataFrame, keys: list[str], step: str = "frame", value: str = "change", fps: float = 24.0, threshold: float = 27.0, min_length: int = 15) -> DataFrame:
+    """Fixed threshold on the mean change of 8-bit hue, saturation and value."""
+    return _timed(series.content_cuts(changes, keys, step, value, threshold, min_length), keys, step, fps)
+
+
+def detect_ratio(changes: DataFrame, keys: list[str], step: str = "frame", value: str = "change", fps: float = 24.0, adaptive_threshold: float = 3.0, min_content_val: float = 15.0, min_length: int = 15) -> DataFrame:
+    """The same change against its neighbours' mean."""
+    return _timed(series.ratio_cuts(changes, keys, step, value, adaptive_threshold, min_content_val, 2, min_length), keys, step, fps)
+
+
+#: Detectors by name; each takes a table of its own kind of series and key columns, and settings by name.
 REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "torch-cpu": detect_spikes, "torch-cuda": detect_spikes, "transnet-cpu": detect_net, "transnet-cuda": detect_net, "motion-vectors": detect_vectors,
-    "ffmpeg-cpu": minimal_events, "ffmpeg-cuda": minimal_events, "psd-content": minimal_events, "psd-adaptive": detect_spikes,
+    "ffmpeg-cpu": minimal_events, "ffmpeg-cuda": minimal_events, "psd-content": detect_content, "psd-adaptive": detect_ratio,
 }
+
+
+def detect(name: str, table: DataFrame, keys: list[str], **settings: object) -> tuple[DataFrame, dict]:
+    """(events, run): what a detector finds, and the run's row: its key, id, backend and the settings in force."""
+    found = REGISTRY[name]
+    given = inspect.signature(found).parameters
+    own = {k: settings.get(k, p.default) for k, p in given.items() if k not in ("keys", next(iter(given)))}
+    detector, backend = DETECTOR_IDS[name]
+    return found(table, keys, **own), {"detector_key": name, "detector_id": detector, "backend": backend, "settings": own}

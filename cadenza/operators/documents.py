@@ -12,6 +12,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 FORMAT, VERSION = "cut-events", 2
 # fixed values of the document format
@@ -23,25 +24,57 @@ FLAGS = ("strobe_suppressed",)
 def build_documents(runs: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
     """keys, document: nested JSON with events in time order, their count and projection derived.
 
-    ``runs``: keys, video, detector, fps, duration, status. ``events``: keys, time, frame, kind and optional
-    span_start, span_end, value, metric. Absent values are omitted, never null.
+    ``runs``: keys, video, detector, fps, duration (null or not above zero: unknown), status, and optional
+    warnings, path, size_bytes, mtime_utc, detector_id (the detector if absent), backend, tool_commit,
+    tool_dirty, model, settings (a struct or map), generated_by, generated_utc. ``events``: keys, time,
+    frame, kind and optional span_start, span_end, value, metric, flags. Absent values are omitted,
+    never null and never made up: a document without its file's size and time breaks the rule ``source``.
     """
     has = lambda c: F.col(c) if c in events.columns else F.lit(None)
+    told = lambda c, kind: F.col(c) if c in runs.columns else F.lit(None).cast(kind)
     span = F.when(has("span_start").isNotNull(), F.struct(has("span_start").cast("double").alias("start"), has("span_end").cast("double").alias("end")))
     confidence = F.when(has("value").isNotNull(), F.struct(has("value").cast("double").alias("value"), has("metric").cast("string").alias("metric"), F.lit(True).alias("higher_is_stronger")))
-    event = F.struct(F.col("time"), F.col("frame"), F.col("kind").alias("transition_kind"), span.alias("span"), confidence.alias("confidence"))
+    flags = has("flags").cast("array<string>")
+    event = F.struct(F.col("time"), F.col("frame"), F.col("kind").alias("transition_kind"), span.alias("span"), confidence.alias("confidence"), F.when(F.size(flags) > 0, flags).alias("flags"))
     lists = events.groupBy(*keys).agg(F.array_sort(F.collect_list(event)).alias("events"))
     joined = runs.join(lists, keys, "left")
     found = F.coalesce("events", F.array().cast(lists.schema["events"].dataType))
-    covered = F.when(F.col("duration") > 0, F.array(F.struct(F.lit(0.0).alias("start"), F.bround("duration", 3).alias("end"))))
+    duration = F.when((F.col("duration") > 0) & ~F.isnan(F.col("duration").cast("double")), F.bround("duration", 3))
+    covered = F.when(duration.isNotNull(), F.array(F.struct(F.lit(0.0).alias("start"), duration.alias("end")))).otherwise(F.array().cast("array<struct<start:double,end:double>>"))
+    source = F.struct(F.coalesce(told("path", "string"), F.col("video")).alias("path"), told("size_bytes", "long").alias("size_bytes"), told("mtime_utc", "string").alias("mtime_utc"), duration.alias("duration_seconds"))
+    texts = [told(c, "string").alias(c) for c in ("tool_commit", "model", "generated_by", "generated_utc")]
+    settings = F.col("settings") if "settings" in runs.columns else F.create_map().cast("map<string,string>")
+    run = F.struct(F.coalesce(told("detector_id", "string"), F.col("detector")).alias("detector_id"), told("backend", "string").alias("backend"), texts[0], told("tool_dirty", "boolean").alias("tool_dirty"), texts[1], settings.alias("settings"), texts[2], texts[3])
     document = F.struct(
-        F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("schema_version"), "video", "detector", "fps",
-        F.struct(F.col("status"), covered.alias("coverage"), F.size(found).alias("event_count"), F.array().cast("array<string>").alias("warnings")).alias("analysis"),
-        found.alias("cut_events"), F.transform(found, lambda e: e["time"]).alias("cuts"),
+        F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("schema_version"), source.alias("source"), run.alias("run"),
+        F.struct(F.col("status"), covered.alias("coverage"), F.size(found).alias("event_count"), F.coalesce(told("warnings", "array<string>"), F.array().cast("array<string>")).alias("warnings")).alias("analysis"),
+        found.alias("cut_events"), F.transform(found, lambda e: e["time"]).alias("cuts"), F.col("fps"), F.col("video"), F.col("detector"),
     )
     return joined.select(*keys, F.to_json(document).alias("document"))
 
 
+def event_rows(docs: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """keys, event_no, time, frame, kind, span_start, span_end, value, metric, higher_is_stronger, flags of each event of a document.
+
+    Tolerant: absent fields are null, unknown ones are left out, an absent kind is ``unknown``.
+    """
+    parsed = docs.select(*keys, F.posexplode(_get(F.try_parse_json(document), "$.cut_events", "array<variant>")).alias("event_no", "_e"))
+    e = F.col("_e")
+    return parsed.select(
+        *keys, "event_no", _time(e).alias("time"), _get(e, "$.frame", "long").alias("frame"), F.coalesce(_get(e, "$.transition_kind", "string"), F.lit("unknown")).alias("kind"),
+        _get(e, "$.span.start", "double").alias("span_start"), _get(e, "$.span.end", "double").alias("span_end"), _get(e, "$.confidence.value", "double").alias("value"),
+        _get(e, "$.confidence.metric", "string").alias("metric"), _get(e, "$.confidence.higher_is_stronger", "boolean").alias("higher_is_stronger"), _get(e, "$.flags", "array<string>").alias("flags"),
+    )
+
+
+def checked(docs: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """The same rows; reading one whose document breaks a rule raises. Writers and readers share the rule tables."""
+    broken = document_violations(docs, keys, document).unionByName(event_violations(docs, keys, document).select(*keys, "rule"))
+    rules = broken.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("rule")), ", ").alias("_rules"))
+    wrong = F.raise_error(F.concat(F.lit("rules broken: "), F.col("_rules"))).cast("string")
+    return docs.join(rules, keys, "left").withColumn(document, F.when(F.col("_rules").isNull(), F.col(document)).otherwise(wrong)).drop("_rules")
+
+
 def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
@@ -69,19 +102,21 @@ def event_violations(docs: DataFrame, keys: list[str], document: str) -> DataFra
     parsed = docs.select(*keys, F.try_parse_json(document).alias("_d"))
     broken = parsed.where("_d is null").select(*keys, F.lit(-1).alias("event_no"), F.lit("json").alias("rule"))
     coverage = F.coalesce(_get(F.col("_d"), "$.analysis.coverage", "array<struct<start:double,end:double>>"), F.array().cast("array<struct<start:double,end:double>>"))
-    times = F.transform(_get(F.col("_d"), "$.cut_events", "array<variant>"), _time)
-    events = parsed.where("_d is not null").select(*keys, coverage.alias("_cov"), times.alias("_times"), F.posexplode(_get(F.col("_d"), "$.cut_events", "array<variant>")).alias("event_no", "_e"))
-    e, t = F.col("_e"), _time(F.col("_e"))
+    # an event travels with its own and its predecessor's time only
+    listed = parsed.where("_d is not null").select(*keys, coverage.alias("_cov"), F.posexplode(_get(F.col("_d"), "$.cut_events", "array<variant>")).alias("event_no", "_e"))
+    listed = listed.withColumn("_t", _time(F.col("_e")))
+    events = listed.withColumn("_before", F.lag("_t").over(Window.partitionBy(*keys).orderBy("event_no")))
+    e, t, before = F.col("_e"), F.col("_t"), F.col("_before")
     kind, span = _get(e, "$.transition_kind", "string"), _has(e, "$.span")
     lo, hi = _get(e, "$.span.start", "double"), _get(e, "$.span.end", "double")
-    before = F.when(F.col("event_no") > 0, F.get("_times", F.col("event_no") - 1))
     flags = _get(e, "$.flags", "array<string>")
     frame = _get(e, "$.frame", "long")
     rules = {
         "object": ~F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False)),
         "time": ~(_number(_kind(e, "$.time")) & F.coalesce(t >= 0, F.lit(False))),
         "kind": ~F.coalesce(kind.isin(*KINDS), F.lit(False)),
-        "order": F.coalesce(t <= before, F.lit(False)),
+        "order": F.coalesce(t < before, F.lit(False)),
+        "duplicate": F.coalesce(t == before, F.lit(False)),
         "frame": _has(e, "$.frame") & ~F.coalesce((_kind(e, "$.frame") == "BIGINT") & (frame >= 0), F.lit(False)),
         "span": span & ~F.coalesce((kind == "gradual") & (lo <= t) & (t <= hi) & _number(_kind(e, "$.span.start")) & _number(_kind(e, "$.span.end")), F.lit(False)),
         "confidence": _has(e, "$.confidence") & ~F.coalesce(_number(_kind(e, "$.confidence.value")) & (_kind(e, "$.confidence.metric") == "STRING") & (_kind(e, "$.confidence.higher_is_stronger") == "BOOLEAN"), F.lit(False)),
@@ -128,6 +163,13 @@ def fail_on_violation(violations: DataFrame) -> DataFrame:
     return violations.withColumn("rule", F.raise_error(F.concat(F.lit("rule broken: "), F.col("rule"))).cast("string"))
 
 
+def cache_documents(cuts: DataFrame, rates: DataFrame, keys: list[str], time: str, tag: str = "score-cache") -> DataFrame:
+    """keys, document of a tagged score cache: its format, cuts in order and rate. ``rates``: keys, fps."""
+    lists = cuts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(time).cast("double"))).alias("cuts"))
+    joined = rates.join(lists, keys, "left")
+    return joined.select(*keys, F.to_json(F.struct(F.lit(tag).alias("format"), F.coalesce("cuts", F.array().cast("array<double>")).alias("cuts"), "fps")).alias("document"))
+
+
 def score_cache(docs: DataFrame, keys: list[str], document: str, tag: str = "score-cache") -> DataFrame:
     """keys, accepted, cuts, fps: a tagged cache, or an untagged one with exactly cuts and fps, of a usable rate."""
     d = F.col("_d")

@@ -58,3 +58,24 @@ def edge_change(a: Column, b: Column, width: int) -> Column:
         return pd.Series([None if u is None or v is None else float(np.abs(shape(u) - shape(v)).mean()) for u, v in zip(x, y, strict=True)], dtype="float64")
 
     return run(a, b)
+
+
+def changes(a: Column, b: Column, width: int, shift: int = 4) -> Column:
+    """struct<raw, norm, edge, edge_shifted> of two pixel arrays: mean absolute differences of pixels, of pixels in
+    units of their deviation, of edge maps in units of their mean, and the least of the last over nine shifts."""
+
+    @F.pandas_udf("raw double, norm double, edge double, edge_shifted double")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = []
+        for u, v in zip(x, y, strict=True):
+            if u is None or v is None:
+                rows.append((None,) * 4)
+                continue
+            p, q = (np.asarray(z, float).reshape(-1, width) for z in (u, v))
+            scaled = [(z - z.mean()) / (z.std() + 1e-3) for z in (p, q)]
+            e, f = (m / (m.mean() + 1e-3) for m in (edges(p), edges(q)))
+            near = min(np.abs(np.roll(e, (dy, dx), (0, 1)) - f).mean() for dy in (-shift, 0, shift) for dx in (-shift, 0, shift))
+            rows.append((np.abs(p - q).mean(), np.abs(scaled[0] - scaled[1]).mean(), np.abs(e - f).mean(), near))
+        return pd.DataFrame(rows, columns=["raw", "norm", "edge", "edge_shifted"], dtype="float64")
+
+    return run(a, b)

@@ -48,6 +48,31 @@ def local_maxima(df: DataFrame, keys: list[str], order: str, value: str, height:
     return thin(found, keys, order, gap, [value])
 
 
+def _spaced(found: DataFrame, df: DataFrame, keys: list[str], order: str, gap: int, payload: list[str]) -> DataFrame:
+    """Found steps at least ``gap`` after the last kept, or after the sequence's first step."""
+    seed = df.groupBy(*keys).agg(F.min(order).alias(order)).select(*keys, order, F.lit(0).alias("_own"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in payload])
+    both = found.select(*keys, order, F.lit(1).alias("_own"), *payload).unionByName(seed)
+    return thin(both, keys, order, gap, ["_own", *payload]).where("_own = 1").drop("_own")
+
+
+def content_cuts(df: DataFrame, keys: list[str], order: str, value: str, threshold: float = 27.0, min_length: int = 15) -> DataFrame:
+    """Steps whose change reaches a fixed threshold, scenes at least ``min_length`` long."""
+    return _spaced(df.where(F.col(value) >= threshold), df, keys, order, min_length, [value])
+
+
+def ratio_cuts(df: DataFrame, keys: list[str], order: str, value: str, ratio: float = 3.0, least: float = 15.0, radius: int = 2, min_length: int = 15) -> DataFrame:
+    """Steps whose change is ``ratio`` times the mean of the ``radius`` steps on either side and reaches ``least``.
+
+    Steps without all those neighbours do not count; beside neighbours without change any change is 255 fold.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    near = [F.lag(value, k).over(w) for k in range(1, radius + 1)] + [F.lead(value, k).over(w) for k in range(1, radius + 1)]
+    mean = sum(near[1:], near[0]) / (2 * radius)
+    marked = df.withColumn("_mean", mean).where("_mean is not null")
+    times = F.when(F.abs("_mean") < 1e-5, F.when(F.col(value) >= least, 255.0).otherwise(0.0)).otherwise(F.least(F.col(value) / F.col("_mean"), F.lit(255.0)))
+    return _spaced(marked.where((times >= ratio) & (F.col(value) >= least)), df, keys, order, min_length, [value])
+
+
 def trailing_peak(df: DataFrame, keys: list[str], order: str, value: str, k: int = 5, name: str = "peak") -> DataFrame:
     """Largest value of a step and the ``k`` before it."""
     return df.withColumn(name, F.max(value).over(_w(keys, order, -k, 0)))
@@ -89,11 +114,10 @@ def corroboration(df: DataFrame, keys: list[str], order: str, kind: str = "kind"
 def gop_profile(intra: DataFrame, keys: list[str], time: str) -> DataFrame:
     """keys, n_intra, keyint, regularity of the intervals between intra steps; sequences with fewer than three have none."""
     w = Window.partitionBy(*keys).orderBy(time)
-    gaps = intra.withColumn("_gap", F.col(time) - F.lag(time).over(w)).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_intra"), F.percentile("_gap", F.lit(0.99)).alias("_p99"), F.max("_gap").alias("_max"), F.percentile("_gap", F.lit(0.5)).alias("_median"), F.collect_list("_gap").alias("_gaps")
-    )
-    near = F.aggregate(F.filter("_gaps", lambda g: F.abs(g - F.col("_median")) < 0.05), F.lit(0), lambda a, _: a + 1) / F.size("_gaps")
-    return gaps.where("n_intra >= 3").select(*keys, "n_intra", F.coalesce(F.nullif("_p99", F.lit(0.0)), F.col("_max").cast("double")).alias("keyint"), near.alias("regularity"))
+    gaps = intra.withColumn("_gap", F.col(time) - F.lag(time).over(w))
+    whole = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_intra"), F.percentile("_gap", F.lit(0.99)).alias("_p99"), F.max("_gap").alias("_max"), F.percentile("_gap", F.lit(0.5)).alias("_median")).where("n_intra >= 3")
+    near = gaps.where("_gap is not null").join(whole.select(*keys, "_median"), keys).groupBy(*keys).agg(F.avg((F.abs(F.col("_gap") - F.col("_median")) < 0.05).cast("double")).alias("regularity"))
+    return whole.join(near, keys).select(*keys, "n_intra", F.coalesce(F.nullif("_p99", F.lit(0.0)), F.col("_max").cast("double")).alias("keyint"), "regularity")
 
 
 def earliness(intra: DataFrame, profile: DataFrame, keys: list[str], time: str) -> DataFrame:

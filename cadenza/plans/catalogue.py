@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cadenza.plans import detector_queries, document_queries, list_queries, series_queries, text_queries
+from cadenza.plans import detector_queries, document_queries, list_queries, run_queries, series_queries, text_queries
 
-QUERIES = {**series_queries.Q.queries, **list_queries.Q.queries, **text_queries.Q.queries, **document_queries.Q.queries, **detector_queries.Q.queries}
-ORACLES = {**series_queries.Q.oracles, **list_queries.Q.oracles, **text_queries.Q.oracles, **document_queries.Q.oracles, **detector_queries.Q.oracles}
+_MODULES = (series_queries, list_queries, text_queries, document_queries, detector_queries, run_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.Q.queries.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.Q.oracles.items()}

@@ -36,7 +36,7 @@ T = "CASE WHEN i % 11 = 3 THEN -1.0 WHEN i % 13 = 5 THEN NULL WHEN i % 17 = 6 TH
 
 @Q("event_rules", f"""
 WITH {SIG}, t AS (SELECT film, i, {T} AS t, i % 7 = 2 AS wipe, i % 2 = 0 AND i % 7 <> 2 AS gradual FROM sig), w AS (SELECT *, lag(t) OVER (PARTITION BY film ORDER BY i) AS b FROM t),
-r AS (SELECT film, i, unnest([CASE WHEN t IS NULL OR t < 0 THEN 'time' END, CASE WHEN wipe THEN 'kind' END, CASE WHEN t <= b THEN 'order' END, CASE WHEN i % 10 = 0 THEN 'frame' END,
+r AS (SELECT film, i, unnest([CASE WHEN t IS NULL OR t < 0 THEN 'time' END, CASE WHEN wipe THEN 'kind' END, CASE WHEN t < b THEN 'order' WHEN t = b THEN 'duplicate' END, CASE WHEN i % 10 = 0 THEN 'frame' END,
  CASE WHEN (i % 6 = 1 AND NOT coalesce(gradual AND t BETWEEN 0.5 AND 900.5, false)) OR (i % 6 = 4 AND NOT coalesce(gradual AND t BETWEEN 0.5 AND 1.5, false)) THEN 'span' END, CASE WHEN i % 9 = 4 THEN 'flags' END,
  CASE WHEN NOT coalesce(t BETWEEN 0 AND 50, false) THEN 'coverage' END]) AS rule FROM w)
 SELECT film, CAST(i AS INT) AS event_no, rule FROM r WHERE rule IS NOT NULL""")

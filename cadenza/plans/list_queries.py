@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadenza.functions import timecode
-from cadenza.operators import align, eventlist, matching
+from cadenza.operators import align, eventlist, matching, sweeps
 from cadenza.plans.registry import HOUR, SIG, TOL, Registry, marks, marks_sql, signal, table, thin_sql
 
 Q = Registry()
@@ -238,24 +238,13 @@ def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q("threshold_sweep", SWEEP + " SELECT thr, toxic, round(avg(CASE WHEN p > thr THEN 1.0 ELSE 0.0 END), 9) AS fired, count(*) AS n FROM c, t GROUP BY thr, toxic")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every threshold from one pass: the ladder is exploded per row and combined before the shuffle."""
-    rows = _clips(spark, sf_dir).withColumn("thr", F.explode(F.array(*[F.lit(x) for x in LADDER])))
-    return rows.groupBy("thr", "toxic").agg(F.round(F.avg((F.col("p") > F.col("thr")).cast("double")), 9).alias("fired"), F.count(F.lit(1)).alias("n"))
+    found = sweeps.fired_share(_clips(spark, sf_dir), "toxic", "p", LADDER)
+    return found.select("thr", "toxic", F.round("fired", 9).alias("fired"), "n")
 
 
 @Q("first_firing_threshold", SWEEP + " SELECT doc_id, max(CASE WHEN p > thr THEN thr END) AS thr FROM c, t GROUP BY doc_id")
 def first_firing_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fired = F.array_max(F.filter(F.array(*[F.lit(x) for x in LADDER]), lambda x: F.col("p") > x))
-    return _clips(spark, sf_dir).groupBy("doc_id").agg(F.max(fired).alias("thr"))
-
-
-@Q("grid_best", SWEEP + ", f AS (SELECT thr, sum(CASE WHEN p > thr AND toxic = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p > thr THEN 1 ELSE 0 END) AS fired, sum(toxic) AS truth FROM c, t GROUP BY thr), s AS (SELECT thr, CASE WHEN fired + truth > 0 THEN 2 * tp / (fired + truth) ELSE 0 END AS f1 FROM f) SELECT thr, round(f1, 9) AS f1 FROM s ORDER BY f1 DESC, thr DESC LIMIT 1")
-def grid_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _clips(spark, sf_dir).withColumn("thr", F.explode(F.array(*[F.lit(x) for x in LADDER])))
-    fired = (F.col("p") > F.col("thr")).cast("int")
-    sums = rows.groupBy("thr").agg(F.sum(fired * F.col("toxic")).alias("tp"), F.sum(fired).alias("fired"), F.sum("toxic").alias("truth"))
-    f1 = F.when(F.col("fired") + F.col("truth") > 0, 2 * F.col("tp") / (F.col("fired") + F.col("truth"))).otherwise(0.0)
-    return sums.select("thr", F.round(f1, 9).alias("f1")).orderBy(F.desc("f1"), F.desc("thr")).limit(1)
+    return sweeps.first_firing(_clips(spark, sf_dir), ["doc_id"], "p", LADDER)
 
 
 BOUNDS = f"WITH {SIG}, c AS (SELECT film, i / 4.0 AS s, 1 AS side FROM sig WHERE event_type = 'click'), d AS (SELECT film, max(i) / 4.0 AS duration FROM sig GROUP BY film), b AS (SELECT * FROM c UNION ALL SELECT film, 0.0, 0 FROM d UNION ALL SELECT film, duration, 2 FROM d), w AS (SELECT film, s AS start, lead(s) OVER k AS stop, row_number() OVER k AS shot_no FROM b WINDOW k AS (PARTITION BY film ORDER BY side, s))"
@@ -278,11 +267,6 @@ def kill_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(e.where("t % 7 = 0"), ["film", "t"], "left_anti")
 
 
-@Q("three_way_partition", f"WITH {ALL} SELECT film, t, CASE WHEN t % 5 = 0 THEN 'flash' WHEN t % 3 = 0 THEN 'burst' ELSE 'keep' END AS verdict FROM e")
-def three_way_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return every(spark, sf_dir).withColumn("verdict", F.when(F.col("t") % 5 == 0, "flash").when(F.col("t") % 3 == 0, "burst").otherwise("keep"))
-
-
 @Q("shot_reference_cuts", "WITH s AS (SELECT l_orderkey AS film, l_linenumber AS start_frame, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, CASE WHEN l_quantity > 25 THEN l_quantity END AS fps FROM lineitem) SELECT film, n, round_even(start_frame / coalesce(fps, 24.0), 4) AS t FROM s WHERE n > 1")
 def shot_reference_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts of every shot after the first; an unknown rate counts as 24."""

@@ -70,13 +70,13 @@ def keyword_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q("srt_parse", f"""
-WITH {SIG}, t AS (SELECT film, string_agg({srt_sql('(i * 3.25)')} || ' --> 00:00:00,000', chr(10) ORDER BY i DESC) AS text FROM sig WHERE i < 12 GROUP BY film),
+WITH {SIG}, t AS (SELECT film, string_agg({srt_sql('(i * 3.25)')} || ' --> 00:00:00,000', chr(10) ORDER BY i DESC) AS text FROM sig GROUP BY film),
 s AS (SELECT film, list_sort(list_distinct(list_transform(regexp_extract_all(text, '([0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}},[0-9]{{3}}) -->', 1),
   lambda x: CAST(x[1:2] AS DOUBLE) * 3600 + CAST(x[4:5] AS DOUBLE) * 60 + CAST(x[7:8] AS DOUBLE) + CAST(x[10:12] AS DOUBLE) / 1000))) AS v FROM t)
 SELECT film, round(unnest(v[2:]), 6) AS t FROM s""")
 def srt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.concat(timecode.srt_time(F.col("i") * 3.25), F.lit(" --> 00:00:00,000"))
-    text = signal(spark, sf_dir).where("i < 12").groupBy("film").agg(F.array_join(F.array_sort(F.collect_list(stamp)), "\n").alias("text"))
+    text = signal(spark, sf_dir).groupBy("film").agg(F.array_join(F.array_sort(F.collect_list(stamp)), "\n").alias("text"))
     return text.select("film", F.explode(sources.srt_cuts(F.col("text"))).alias("t")).select("film", F.round("t", 6).alias("t"))
 
 
@@ -114,23 +114,6 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).select("run_id", F.round(F.nanvl(timecode.throughput("n_frames", "elapsed"), F.lit(None).cast("double")), 6).alias("analysed_fps"))
 
 
-IDS = {"click": ("hsv-adaptive", "cuda"), "view": ("hsv-adaptive", "cpu"), "error": ("motion-vectors", "cpu")}
-
-
-@Q("id_map", f"WITH {RUN} SELECT run_id, CASE event_type WHEN 'click' THEN 'hsv-adaptive' WHEN 'view' THEN 'hsv-adaptive' WHEN 'error' THEN 'motion-vectors' ELSE event_type END AS detector_id, CASE event_type WHEN 'click' THEN 'cuda' WHEN 'view' THEN 'cpu' WHEN 'error' THEN 'cpu' END AS backend FROM r")
-def id_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known detector keys have an id and a backend; others stand for themselves."""
-    pick = lambda k: F.create_map(*[F.lit(x) for key, v in IDS.items() for x in (key, v[k])])[F.col("event_type")]
-    return runs(spark, sf_dir).select("run_id", F.coalesce(pick(0), F.col("event_type")).alias("detector_id"), pick(1).alias("backend"))
-
-
 @Q("sync_verdict", "SELECT event_id, CASE WHEN value / 100 > 0.75 THEN 'same' WHEN value / 100 > 0.4 THEN 'partial' ELSE 'none' END AS verdict FROM events")
 def sync_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", timecode.sync_verdict(F.col("value") / 100).alias("verdict"))
-
-
-@Q("decode_notes", f"WITH {RUN} SELECT run_id, to_json(list_filter([CASE WHEN NOT decode_ok THEN 'decode failed' END, CASE WHEN n_events = 0 THEN 'no events' END, CASE WHEN NOT fps > 0 THEN 'no frame rate' END], lambda x: x IS NOT NULL))::VARCHAR AS warnings FROM r")
-def decode_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional warnings in a fixed order."""
-    notes = F.array(F.when(~F.col("decode_ok"), "decode failed"), F.when(F.col("n_events") == 0, "no events"), F.when(~timecode.usable_rate("fps"), "no frame rate"))
-    return runs(spark, sf_dir).select("run_id", F.to_json(F.filter(notes, lambda x: x.isNotNull())).alias("warnings"))

@@ -288,7 +288,7 @@ def test_event_rules(spark):
         found.setdefault(r["id"], set()).add(r["rule"] if r["id"] != 99 else (r["event_no"], r["rule"]))
     for i, (e, expected) in enumerate(EVENTS):
         assert found.get(i, set()) == expected, (e, found.get(i))
-    assert found[99] == {(2, "order"), (3, "order")}
+    assert found[99] == {(2, "duplicate"), (3, "order")}
 
 
 def test_built_documents_pass_their_own_rules(spark):
@@ -296,10 +296,15 @@ def test_built_documents_pass_their_own_rules(spark):
     events = spark.createDataFrame([(1, 2.0, 50, "gradual", 1.5, 2.5), (1, 1.0, 25, "hard", None, None)], "film int, time double, frame long, kind string, span_start double, span_end double")
     built = documents.build_documents(runs, events, ["film"])
     assert documents.event_violations(built, ["film"], "document").count() == 0
-    assert {r["rule"] for r in documents.document_violations(built, ["film"], "document").collect()} == {"source", "run"}  # added by whoever knows the file
+    assert {r["rule"] for r in documents.document_violations(built, ["film"], "document").collect()} == {"source"}  # nothing is made up about the file
+    known = runs.withColumn("size_bytes", F.lit(7)).withColumn("mtime_utc", F.lit("2024-01-01T00:00:00Z")).withColumn("settings", F.struct(F.lit(3).alias("k")))
+    whole = documents.build_documents(known, events, ["film"])
+    assert documents.document_violations(whole, ["film"], "document").count() == 0 and documents.checked(whole, ["film"], "document").count() == 2
+    with pytest.raises(Exception, match="rules broken: source"):
+        documents.checked(built, ["film"], "document").collect()
     docs = {r["film"]: json.loads(r["document"]) for r in built.collect()}
     assert docs[1]["cuts"] == [1.0, 2.0] and docs[1]["analysis"]["event_count"] == 2 and "span" not in docs[1]["cut_events"][0]
-    assert docs[2]["cuts"] == [] and "coverage" not in docs[2]["analysis"]
+    assert docs[2]["cuts"] == [] and docs[2]["analysis"]["coverage"] == [] and "duration_seconds" not in docs[2]["source"]
 
 
 def test_score_cache_rules(spark):
