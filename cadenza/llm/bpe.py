@@ -26,6 +26,8 @@ SLICE_BYTES = 8 << 20
 _SAFE = re.compile(r"(?= \S)")
 _ODD = r" \s| $"
 _MARKS = ".,;:!?\n*%$#&"
+#: A space in the names of byte-level tokens.
+_SPACE = "\u0120"
 
 
 def load(path: str) -> Encoder:
@@ -51,27 +53,25 @@ class _Table:
         self.kept = len(self.keys)
         return pc.fill_null(pc.index_in(strings, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def add(self, strings: list[str]) -> int:
+    def add(self, strings: pa.Array) -> int:
         """Encode new strings; the row of the first."""
         first = len(self.keys)
-        if strings:
-            coded = self.encoder.tokenizer.encode([self.prefix + s for s in strings], is_pretokenized=True, add_special_tokens=False)
-            lengths = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(strings))
+        if len(strings):
+            ids, lengths = self.encoder.words(strings) if self.prefix else self.encoder.strings(strings.to_pylist())
             self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.array(coded.ids, np.uint32)])
-            self.keys = pa.concat_arrays([self.keys, pa.array(strings, pa.large_string())])
+            self.ids = np.concatenate([self.ids, ids])
+            self.keys = pa.concat_arrays([self.keys, strings])
         return first
 
-    def find(self, strings: list[str]) -> np.ndarray:
-        """Rows of any strings, repeats included; new ones are added."""
-        place: dict[str, int] = {}
-        index = np.fromiter((place.setdefault(s, len(place)) for s in strings), np.int64, len(strings))
-        distinct = list(place)
-        at = self.rows(pa.array(distinct, pa.large_string()))
+    def find(self, strings: pa.Array) -> np.ndarray:
+        """Rows of any strings, repeats included; new ones are added. Nothing is dropped."""
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(at < 0)
-        at[new] = self.add([distinct[i] for i in new.tolist()]) + np.arange(len(new))
-        return at[index]
+        at[new] = self.add(distinct.take(pa.array(new))) + np.arange(len(new))
+        return at[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 class Encoder:
@@ -82,40 +82,61 @@ class Encoder:
             raise ValueError("added tokens with spaces are not supported")
         marks = re.escape("".join(c for c in _MARKS if c not in added))
         self.marks = re.compile(f"(?<=[^\\W\\d_])(?=[{marks}])")
+        # letters and one tail, by far the most frequent of such words: cut in Arrow
+        self.tailed = f"(?s)^(?P<head>\\p{{L}}+)(?P<tail>[{marks}][^\\p{{L}}\\p{{N}}]*)$"
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(_SPACE)]] = True
         self.spaced, self.bare = _Table(self, " "), _Table(self, "")
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         """Ids straight from the library, for comparison."""
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each has) of strings encoded apart."""
+        coded = self.tokenizer.encode(strings, is_pretokenized=True, add_special_tokens=False)
+        return np.array(coded.ids, np.uint32), np.bincount(np.array(coded.word_ids, np.int64), minlength=len(strings))
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words without spaces, each after one: all in one text, as only a word's first id opens with a space."""
+        text = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar(" ", pa.large_string()))[0].as_py()
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.uint32)
+        heads = np.flatnonzero(self.opens[ids])
+        if len(heads) != len(words) or heads[0]:  # an added token took a space
+            return self.strings([" " + w for w in words.to_pylist()])
+        return ids, np.diff(np.concatenate([heads, [len(ids)]]))
+
     def _pieces(self, words: pa.Array, others: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids in order, how many each has) of distinct words after a space, then of other pieces."""
         at = self.spaced.rows(words)
+        self.bare.rows(words[:0])  # the tables drop strings here only, so all of one slice's rows hold together
         lacking = np.flatnonzero(at < 0)
-        heads, tails, owners = [], [], []
-        for n, word in enumerate(words.take(pa.array(lacking)).to_pylist()):
-            if word.isalpha():
-                heads.append(word)
-            else:
-                head, *rest = self.marks.split(" " + word)
-                heads.append(head[1:])
-                tails += rest
-                owners += [n] * len(rest)
-        # the tables drop strings only when asked for rows, so all of one slice's rows hold together
-        place: dict[str, int] = {}
-        index = np.fromiter((place.setdefault(h, len(place)) for h in heads), np.int64, len(heads))
-        distinct = list(place)
-        found = pc.fill_null(pc.index_in(pa.array(distinct, pa.large_string()), value_set=self.spaced.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        new = np.flatnonzero(found < 0)
-        found[new] = self.spaced.add([distinct[i] for i in new.tolist()]) + np.arange(len(new))
-        at[lacking] = found[index]
-        more = self.bare.find(tails + others)
+        new = words.take(pa.array(lacking))
+        cut = pc.extract_regex(new, self.tailed)
+        two = pc.is_valid(cut).to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~(two | pc.utf8_is_alpha(new).to_numpy(zero_copy_only=False)))
+        heads = pc.if_else(pa.array(two), pc.struct_field(cut, "head"), new)
+        tails, owners = [], []
+        if len(rest):
+            firsts = []
+            for n, word in zip(rest.tolist(), new.take(pa.array(rest)).to_pylist(), strict=True):
+                head, *more = self.marks.split(" " + word)
+                firsts.append(head[1:])
+                tails += more
+                owners += [n] * len(more)
+            mask = np.zeros(len(new), bool)
+            mask[rest] = True
+            heads = pc.replace_with_mask(heads, pa.array(mask), pa.array(firsts, pa.large_string()))
+        at[lacking] = self.spaced.find(heads)
+        single = np.flatnonzero(two)
+        more = self.bare.find(pa.concat_arrays([pc.struct_field(cut, "tail").take(pa.array(single)), pa.array(tails + others, pa.large_string())]))
+        owners = np.concatenate([single, np.array(owners, np.int64)])
         # one table behind the other; a piece is a run of parts
         begins = np.concatenate([self.spaced.begins, len(self.spaced.ids) + self.bare.begins])
         lengths = np.concatenate([self.spaced.lengths, self.bare.lengths])
         ids = np.concatenate([self.spaced.ids, self.bare.ids])
         more = more + len(self.spaced.lengths)
-        tail_owner = lacking[np.array(owners, np.int64)]
+        tail_owner = lacking[owners]
         parts = np.concatenate([at, more])
         owner = np.concatenate([np.arange(len(at)), tail_owner, len(at) + np.arange(len(others))])
         parts = parts[np.argsort(owner, kind="stable")]
