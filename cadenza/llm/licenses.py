@@ -1,11 +1,14 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison.
 
-Paragraphs are lines, read in overlapping windows of at most ``2 * BLOCK`` words. Their sparse
-features are the word n-grams (one to three words) that occur in the templates; a logistic
-regression over licence families and an unknown class scores them. It learns from damaged templates
-and, for the unknown class, from template words out of order and from paragraphs of a bounded sample
-of the corpus; a temperature fitted on left-out examples calibrates its probabilities. A predicted
-family counts only if the window also shares enough word pairs with one of that family's templates.
+Paragraphs are blocks between blank lines, read in overlapping windows of at most ``2 * BLOCK`` words that
+begin at every line and every ``BLOCK`` words of a line: windows of one line, and windows that run over
+line ends, so that a wrapped notice is seen whole. Their sparse features are the word n-grams (one to
+three words, across line ends) that occur in the templates; a logistic regression over licence families
+and an unknown class scores them. It learns from damaged templates and, for the unknown class, from
+template words out of order and from all paragraphs of a bounded sample of the corpus that share little
+with any template; a temperature fitted on left-out examples calibrates its probabilities. A predicted
+family counts only if the window also shares enough word pairs with one of that family's templates; of
+overlapping windows of a family the one that shares most counts.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.arrowtext import encode_words, held, slices, texts_of
+from cadenza.llm.arrowtext import encode_words, held, segment_sum, slices, texts_of
 
 #: Rows of the corpus whose paragraphs stand for the unknown class in training.
 SAMPLE_ROWS = 300
@@ -66,7 +70,7 @@ class Model:
     temperature: float = 1.0
 
     def grams(self, ids: np.ndarray, line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(feature number, position of its first word) of all known n-grams within lines."""
+        """(feature number, position of its first word) of all known n-grams within paragraphs."""
         size = len(self.vocabulary) + 1
         key, ok = ids.copy(), ids > 0
         for n in range(3):
@@ -91,54 +95,89 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
     def scan(self, texts: pa.Array) -> list[list[tuple[int, str, float, float]]]:
-        """(line number, family, probability, overlap) of the confirmed windows of each text, the best for each line and family."""
+        """(line number, family, probability, overlap) of the confirmed windows of each text, in order of lines."""
         lines = pc.split_pattern(texts, "\n")
         starts = lines.offsets.to_numpy().astype(np.int64)
         flat = lines.values.slice(starts[0], starts[-1] - starts[0])
         starts = starts - starts[0]
         codes, offsets, raw = encode_words(pc.utf8_split_whitespace(pc.utf8_lower(flat)))
+        blank = np.array([not w for w in raw], bool)
+        written = segment_sum((~blank[codes]).astype(np.int64), offsets) > 0 if len(codes) else np.zeros(len(flat), bool)
         names = [w if w.isalnum() else _STRIP.sub("", w) for w in raw]
         keep = np.fromiter(map(bool, names), bool, len(names))[codes] if len(codes) else np.zeros(0, bool)
         known = np.fromiter((self.vocabulary.get(w, 0) for w in names), np.int64, len(names))
         codes, offsets = codes[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
         n = np.diff(offsets)
-        line = np.repeat(np.arange(len(n)), n)
-        per_line = np.maximum(-(-n // BLOCK), 1)
+        doc = np.searchsorted(starts, np.arange(len(n)), side="right") - 1
+        # a paragraph ends with its text and at a line without a word
+        ends = np.concatenate([[True], (doc[1:] != doc[:-1]) | ~written[1:] | ~written[:-1]])
+        paragraph = np.cumsum(ends)
+        per_line = -(-n // BLOCK)
         first = np.cumsum(per_line) - per_line
         block = np.repeat(first, n) + (np.arange(len(codes)) - np.repeat(offsets[:-1], n)) // BLOCK
         total = int(per_line.sum())
-        logits = self.logits(known[codes] if len(codes) else codes, line, block, total)
-        owner = np.repeat(np.arange(len(n)), per_line)
-        window = logits.copy()
-        if total > 1:
-            same = owner[:-1] == owner[1:]
-            window[:-1][same] += logits[1:][same]
-        p = self.probabilities(window)
-        best = p.argmax(axis=1)
-        found: list[dict[tuple[int, str], tuple[float, float]]] = [{} for _ in range(len(texts))]
-        for b in np.flatnonzero((best < len(self.families) - 1) & (p.max(axis=1) >= LEAST_PROBABILITY)).tolist():
-            at = int(owner[b])
-            low = int(offsets[at]) + (b - int(first[at])) * BLOCK
-            words = [names[c] for c in codes[low : min(low + 2 * BLOCK, int(offsets[at + 1]))].tolist()]
-            family = self.families[int(best[b])]
-            shared = overlap(words, family)
-            if shared >= LEAST_OVERLAP:
-                doc = int(np.searchsorted(starts, at, side="right")) - 1
-                key = at - int(starts[doc]), family
-                found[doc][key] = max(found[doc].get(key, (0.0, 0.0)), (float(p[b].max()), shared))
-        return [[(k[0], k[1], *v) for k, v in sorted(x.items())] for x in found]
-
-
-def overlap(words: list[str], family: str) -> float:
-    """Largest share of a template's word pairs that the words hold in order, or of the words' that a template holds."""
+        logits = self.logits(known[codes] if len(codes) else codes, np.repeat(paragraph, n), block, total)
+        line = np.repeat(np.arange(len(n)), per_line)
+        low = offsets[line] + (np.arange(total) - first[line]) * BLOCK if total else np.zeros(0, np.int64)
+        high = np.minimum(low + BLOCK, offsets[line + 1]) if total else low
+        summed = np.concatenate([np.zeros((1, logits.shape[1])), np.cumsum(logits, axis=0)])
+        # the last block of each window: within its line, and within its paragraph
+        own = np.arange(total)
+        last = [np.minimum(own + 1, (first + per_line)[line] - 1)]
+        behind = np.searchsorted(high, low + 2 * BLOCK, side="right") - 1
+        last.append(np.maximum(np.minimum(behind, np.searchsorted(paragraph[line], paragraph[line], side="right") - 1), last[0]))
+        found: list[list[_Window]] = [[] for _ in range(len(texts))]
+        for upto in last if (last[1] > last[0]).any() else last[:1]:
+            p = self.probabilities(summed[upto + 1] - summed[own])
+            best = p.argmax(axis=1) if total else own
+            for b in np.flatnonzero((best < len(self.families) - 1) & (p.max(axis=1, initial=0.0) >= LEAST_PROBABILITY)).tolist():
+                s, e = int(low[b]), int(high[upto[b]])
+                family, words = self.families[int(best[b])], [names[c] for c in codes[s:e].tolist()]
+                shared, common = overlap(words, family)
+                if shared >= LEAST_OVERLAP:
+                    at = int(line[b])
+                    found[int(doc[at])].append(_Window(-common, -shared, e - s, s, family, at - int(starts[doc[at]]), float(p[b].max()), words))
+        return [sorted((w.line, w.family, w.probability, -w.shared) for w in _apart(x)) for x in found]
+
+
+@dataclass(order=True)
+class _Window:
+    """Ordered by how much it says: word pairs in common, their share, then the shorter and the earlier."""
+
+    common: int
+    shared: float
+    length: int
+    start: int
+    family: str
+    line: int
+    probability: float
+    words: list[str]
+
+
+def _apart(windows: list[_Window]) -> list[_Window]:
+    """Of overlapping windows the best: of one family, and of others where the better one's family explains both as well."""
+    kept: list[_Window] = []
+    begins: list[int] = []
+    for w in sorted(windows):
+        near = kept[bisect_left(begins, w.start - 2 * BLOCK) : bisect_left(begins, w.start + w.length)]
+        near = [k for k in near if k.start + k.length > w.start]
+        if not any(k.family == w.family or overlap(w.words, k.family)[0] >= -0.9 * w.shared for k in near):
+            at = bisect_right(begins, w.start)
+            begins.insert(at, w.start)
+            kept.insert(at, w)
+    return kept
+
+
+def overlap(words: list[str], family: str) -> tuple[float, int]:
+    """Largest share of a template's word pairs that the words hold in order, or of the words' that a template holds; and most pairs in common."""
     own = {*zip(words, words[1:], strict=False)} or {(w,) for w in words}
-    best = 0.0
+    best, most = 0.0, 0
     for template in TEMPLATES.get(family, ()):
         other = words_of(template)
         pairs = {*zip(other, other[1:], strict=False)} or {(w,) for w in other}
         common = len(own & pairs)
-        best = max(best, common / len(pairs), common / max(len(own), 3))
-    return best
+        best, most = max(best, common / len(pairs), common / max(len(own), 3)), max(most, common)
+    return best, most
 
 
 def fit(corpus: list[str], seed: int = 0, copies: int = 60) -> Model:
@@ -147,22 +186,22 @@ def fit(corpus: list[str], seed: int = 0, copies: int = 60) -> Model:
     families = [*sorted(TEMPLATES), UNKNOWN]
     examples: list[tuple[list[str], int]] = []
     pool = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
-    background = [w for w in (words_of(line) for text in corpus for line in text.split("\n")) if w]
+    background = [words[at : at + 2 * BLOCK] for text in corpus for words in _paragraphs(text) for at in range(0, len(words), 2 * BLOCK)]
     for c, family in enumerate(families[:-1]):
         for template in TEMPLATES[family]:
             words = words_of(template)
             for k in range(copies):
                 kept = [w for w in words if k == 0 or rng.random() > 0.1]
                 if k % 3 == 1 and background:  # prose around it
-                    other = background[rng.integers(len(background))][:30]
-                    kept = other[: len(other) // 2] + kept + other[len(other) // 2 :]
+                    other = background[rng.integers(len(background))]
+                    at = int(rng.integers(len(other) + 1))
+                    kept = other[:at] + kept + other[at:]
                 if kept:
                     examples.append((kept, c))
     for _ in range(copies * 40):
         size = int(rng.integers(3, 40))
         examples.append(([pool[i] for i in rng.integers(len(pool), size=size)], len(families) - 1))
-    for words in background[: copies * 60]:
-        examples.append((words[: 2 * BLOCK], len(families) - 1))
+    examples += [(words, len(families) - 1) for words in background]
     vocabulary = {w: i + 1 for i, w in enumerate(pool)}
     size = len(vocabulary) + 1
     keys: set[int] = set()
@@ -212,12 +251,15 @@ def _at(model: Model, logits: np.ndarray, temperature: float) -> np.ndarray:
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit with at most ``sample_rows`` rows of the corpus, chosen by a hash of their id, for the unknown class; paragraphs that name a licence are left out."""
+    """Fit with at most ``sample_rows`` rows of the corpus, chosen by a hash of their id, for the unknown class; paragraphs that share much with a template are left out."""
     ids = docs.where(F.col(id_col).isNotNull()).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).dropDuplicates([id_col])
     rows = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).collect()  # bounded by sample_rows
     texts = [r[1] for r in sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0]) if r[1]]
-    plain = ["\n".join(p for p in t.split("\n") if not re.search(r"licen[sc]|copyright|rights reserved|public domain", p, re.I)) for t in texts]
-    return fit(plain)
+    return fit(["\n\n".join(" ".join(words) for words in _paragraphs(t) if max(overlap(words, f)[0] for f in TEMPLATES) < LEAST_OVERLAP / 2) for t in texts])
+
+
+def _paragraphs(text: str) -> list[list[str]]:
+    return [words for words in (words_of(p) for p in re.split(r"\n\s*\n", text)) if words]
 
 
 SCHEMA = T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("overlap", T.DoubleType())]))
@@ -227,7 +269,8 @@ _FOUND = pa.list_(pa.struct([("line", pa.int64()), ("family", pa.string()), ("pr
 def scan_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``licenses``: array<line, family, probability, overlap> (a column of that name is replaced).
 
-    Whole texts, line by line, lines counted from zero. Null and empty texts find nothing; repeated
+    Whole texts, however long; a window is told by its first line, lines counted from zero; of windows
+    that tie the shorter and then the earlier counts. Null and empty texts find nothing; repeated
     rows stay; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))

@@ -202,6 +202,23 @@ def test_a_licence_inside_a_long_line_is_found(scanner):
         assert "mit" in [f[1] for f in scanner.scan(pa.array([text], pa.large_string()))[0]]
 
 
+def test_wrapped_notices_are_seen_whole(scanner):
+    rng = random.Random(3)
+    prose = [r[1].split() for r in corpus(60, 8)]
+    hits = total = 0
+    for family, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            words = [w for k, w in enumerate(template.split()) if k % 12 != 5]  # one word in twelve is lost
+            width = rng.choice([3, 6, 10])
+            wrapped = "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+            text = "\n".join(" ".join(p[:30]) for p in rng.sample(prose, 3)) + "\n\n" + wrapped + "\n\n" + " ".join(rng.choice(prose))
+            found = scanner.scan(pa.array([text], pa.large_string()))[0]
+            total += 1
+            hits += family in [f[1] for f in found]
+            assert len({f[1] for f in found}) == len(found)  # one report of a notice, not one for each window
+    assert hits / total > 0.9
+
+
 def test_licences_of_awkward_rows(spark, scanner):
     found = licenses.scan_rows(awkward(spark, True), scanner).collect()
     assert len(found) == len(AWKWARD) and all(r["licenses"] == [] for r in found)
