@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import math
 import uuid
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,54 +93,61 @@ class Matcher:
             at = end - length + 1
             for n, offset in places:
                 tried.setdefault((n, at - offset))
-        found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        found: list[tuple[int, int, int, int]] = []
+        placed: dict[int, list[int]] = {}  # of each item the diagonals of its passages, in order
         for n, diagonal in tried:
             item, pattern, budget = self.items[n]
             # passages around diagonals within the budget of each other are the same passage
-            if any(abs(place - diagonal) <= budget for m, place in found if m == n):
+            known = placed.setdefault(n, [])
+            near = bisect_left(known, diagonal - budget)
+            if near < len(known) and known[near] <= diagonal + budget:
                 continue
             low = max(0, diagonal - budget)
             window = text[low : max(0, diagonal) + len(pattern) + 2 * budget]
             distance, end = (0, diagonal - low + len(pattern)) if text.startswith(pattern, max(diagonal, 0)) and diagonal >= 0 else myers(pattern, window)
             if distance <= budget:
                 back, length = myers(pattern[::-1], window[:end][::-1])
-                found[n, diagonal] = (item, low + end - length, low + end, distance)
-        return sorted(found.values())
+                found.append((item, low + end - length, low + end, distance))
+                insort(known, diagonal)
+        return sorted(found, key=lambda m: (m[0] is not None, m[0] or 0, *m[1:]))
 
 
 def find(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", item_chars: int = ITEM_CHARS) -> DataFrame:
     """The rows of ``docs`` with ``matches``: array<item_id, start, end, distance> (a column of that name is replaced).
 
     Positions count characters of the normalised text. Null and empty texts and items match nothing;
-    an item too short for an edit must occur exactly; repeated rows and items stay; an empty table
-    gives an empty result.
+    an item too short for an edit must occur exactly; texts are whole, however long, and an item that
+    a text repeats matches at each place; of passages that tie the first counts; repeated rows and items
+    stay; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     source = docs.drop("matches")
     wanted = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     size = wanted.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     passes = max(1, -(-size // item_chars))
-    ws = Workspace(spark, "decontaminate")
-    names = source.columns
-    out = source.withColumn("matches", F.lit(None).cast(T.ArrayType(MATCH)))
-    for number in range(passes):
-        part = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == number).collect()  # about ``item_chars`` characters
-        shared = spark.sparkContext.broadcast([(r["item"], normal(r["text"])) for r in part])
-        out = _pass(out, shared, uuid.uuid4().hex, rate, text_col, names)
-        if number + 1 < passes:
-            out = ws.save(out, f"pass-{number}")
-    return out
-
-
-def _pass(docs: DataFrame, shared, key: str, rate: float, text_col: str, names: list[str]) -> DataFrame:
+    part = lambda number: wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == number).collect()  # noqa: E731 about ``item_chars`` characters
+    share = lambda rows: spark.sparkContext.broadcast([(r["item"], normal(r["text"])) for r in rows])
+    if passes == 1:
+        return _matched(source, share(part(0)), rate, text_col)
+    # rows get a number once; the passes bring back numbers and matches only, and one join puts them together
+    ws, row = Workspace(spark, "decontaminate"), "_row"
+    while row in source.columns:
+        row += "_"
+    numbered = ws.save(source.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
+    found = [ws.save(_matched(texts, share(part(n)), rate, "text").where(F.size("matches") > 0).select("row", "matches"), f"pass-{n}") for n in range(passes)]
+    merged = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    none = F.array().cast(T.ArrayType(MATCH))
+    return numbered.join(merged.withColumnRenamed("row", row), row, "left").select(*source.columns, F.coalesce("matches", none).alias("matches"))
+
+
+def _matched(docs: DataFrame, shared: Broadcast, rate: float, text_col: str) -> DataFrame:
+    key, names = uuid.uuid4().hex, docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = held(key, lambda: Matcher(shared.value, rate))
         for batch in slices(batches, text_col):
-            met = batch.column(batch.num_columns - 1).to_pylist()
-            found = []
-            for text, before in zip(texts_of(batch, text_col).to_pylist(), met, strict=True):
-                more = [dict(zip(("item_id", "start", "end", "distance"), m, strict=True)) for m in matcher.matches(normal(text))]
-                found.append([*(before or []), *more])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(_MATCH))], [*names, "matches"])
-
-    return docs.mapInArrow(run, docs.schema)
+            found = [[dict(zip(("item_id", "start", "end", "distance"), m, strict=True)) for m in matcher.matches(normal(text))] for text in texts_of(batch, text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(_MATCH))], [*names, "matches"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("matches", T.ArrayType(MATCH))]))

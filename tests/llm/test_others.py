@@ -2,6 +2,7 @@ import hashlib
 import base64
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -184,6 +185,20 @@ def test_passages_within_the_budget_are_found(spark):
                 assert slow_distance(decontam.normal(dict(items)[m["item_id"]]), found) == m["distance"]
 
 
+def test_a_text_that_repeats_an_item_is_linear(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away again"
+    text = " ".join([item] * 4000)
+    began = time.perf_counter()
+    found = decontam.Matcher([(1, item), (2, "lazy dog and runs")], 0.05).matches(text)
+    assert sum(m[0] == 1 for m in found) == 4000 and all(m[3] == 0 for m in found) and time.perf_counter() - began < 20
+    docs = spark.createDataFrame([(1, text, 7, 0), (2, "plain", 8, 0), (2, "plain", 8, 0)], "doc_id long, text string, _row long, row int")
+    items = spark.createDataFrame([(i, f"{item} {i}") for i in range(5)] + [(9, item)], "item_id long, text string")
+    one, many = (decontam.find(docs, items, item_chars=c) for c in (4_000_000, 100))
+    assert one.columns == many.columns == [*docs.columns, "matches"]
+    plain = lambda df: sorted((r["doc_id"], r["_row"], sorted(map(tuple, r["matches"]))) for r in df.collect())
+    assert plain(one) == plain(many)
+
+
 def test_decontamination_of_awkward_rows(spark):
     items = spark.createDataFrame([(1, "the cat sat on the mat"), (1, "the cat sat on the mat"), (None, "a row without")], "item_id long, text string")
     found = decontam.find(awkward(spark, True), items).collect()
