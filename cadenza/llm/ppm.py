@@ -334,7 +334,7 @@ def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def resolve(windows_: DataFrame, model: Model) -> DataFrame:
-    """windows_(row, gram, times) → (row, score): sums of log10 probabilities by the whole trie, some rows in parts."""
+    """windows_(row, gram, times) → (row, score): each window's log10 probability by the whole trie, as often as it occurs."""
     spark, order, first = windows_.sparkSession, len(model.levels) - 1, len(model.low)
     shared = spark.sparkContext.broadcast(pickle.dumps((model.low, model.discounts)))
 
@@ -354,9 +354,9 @@ def resolve(windows_: DataFrame, model: Model) -> DataFrame:
                     empty_ = np.zeros(0, np.int64)
                     upper = [(np.concatenate([*g, empty_]), np.concatenate([*c, empty_])) for g, c in tables[first:]]
                     trie, tables = Trie([*low, *upper], discounts), []
-                rows, place = np.unique(batch.column(3).filter(pa.array(own)).to_numpy(), return_inverse=True)
                 found = trie.log10_each(grams[own].astype(np.uint64)) * counts[own]
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(place, found))], ["row", "score"])
+                # one row per window: how many share a task says nothing about the corpus, and Spark adds them up
+                yield pa.RecordBatch.from_arrays([batch.column(3).filter(pa.array(own)), pa.array(found)], ["row", "score"])
 
     none = F.lit(None).cast("long").alias("row")
     union = windows_.select(F.lit(order + 1).alias("kind"), "gram", F.col("times").alias("c"), "row")
