@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadenza.operators.lineage import cut
 from cadenza.operators.matching import greedy_match
 
 # fixed values: usual frame rates
@@ -32,9 +33,21 @@ def vote_offset(ref: DataFrame, own: DataFrame, keys: list[str], time: str, scal
 
 
 def densest(pairs: DataFrame, keys: list[str], width: float | int) -> DataFrame:
-    """keys, offset, votes from differences ``_d`` per key."""
+    """keys, offset, votes from differences ``_d`` per key.
+
+    Differences are counted in bins first, which combines before the shuffle. A bin is a little narrower
+    than a cluster, so the fullest bin bounds the best cluster from below, and three successive bins
+    bound from above what ends in the last; only differences in bins that can hold the best are sorted.
+    """
+    binned = pairs.withColumn("_bin", F.floor(F.col("_d") / (width * (1 - 1e-9))).cast("long"))
+    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    above = F.sum("_c").over(w.orderBy("_bin").rangeBetween(-2, 0))
+    able = counts.withColumn("_up", above).withColumn("_low", F.max("_c").over(w)).where("_up >= _low")
+    useful = able.select(*keys, F.explode(F.sequence(F.col("_bin") - 2, F.col("_bin"))).alias("_bin")).distinct()
     part = ", ".join(f"`{k}`" for k in keys)
-    counted = pairs.selectExpr("*", f"count(*) over (partition by {part} order by _d range between {width!r}{'D' if isinstance(width, float) else ''} preceding and current row) as _n", f"row_number() over (partition by {part} order by _d) as _rn")
+    near = binned.join(useful, [*keys, "_bin"]).select(*keys, "_d")
+    counted = near.selectExpr("*", f"count(*) over (partition by {part} order by _d range between {width!r}{'D' if isinstance(width, float) else ''} preceding and current row) as _n", f"row_number() over (partition by {part} order by _d) as _rn")
     best = counted.withColumn("_best", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_n"), "_d", F.desc("_rn")))).where("_best = 1")
     best = best.select(*keys, F.col("_n").alias("votes"), (F.floor((2 * F.col("_rn") - 1 - F.col("_n")) / 2) + 1).alias("_rn"))
     return counted.drop("_n").join(best, [*keys, "_rn"]).select(*keys, F.col("_d").alias("offset"), "votes")
@@ -59,7 +72,7 @@ def synchronise(ref: DataFrame, own: DataFrame, keys: list[str], time: str = "t"
     many_own = own.select(*keys, F.col(time).alias("t")).join(scales.select("scale_no"))
     pairs = many_ref.select(*all_keys, "r", "scale0").join(many_own.withColumnRenamed("t", "_m"), all_keys)
     state = densest(pairs.select(*all_keys, (F.col("_m") - F.col("scale0") * F.col("r")).alias("_d")), all_keys, 2 * tol)
-    state = scales.join(state, "scale_no").select(*all_keys, F.col("scale0").alias("s"), F.col("offset").alias("o"))
+    state = cut(scales.join(state, "scale_no").select(*all_keys, F.col("scale0").alias("s"), F.col("offset").alias("o")))
     for _ in range(rounds):
         mapped = many_ref.join(state, all_keys).select(*all_keys, (F.col("s") * F.col("r") + F.col("o")).alias("t"), "s", "o")
         met = greedy_match(mapped, many_own, all_keys, "t", tol + 1e-9).join(state, all_keys)
@@ -67,7 +80,7 @@ def synchronise(ref: DataFrame, own: DataFrame, keys: list[str], time: str = "t"
         joined = state.join(fit, all_keys, "left")
         good = F.coalesce((F.col("n") >= 3) & F.col("slope").isNotNull(), F.lit(False))
         state = joined.select(*all_keys, F.when(good, F.col("slope")).otherwise(F.col("s")).alias("s"), F.when(good, F.col("intercept")).otherwise(F.col("o")).alias("o"))
-        state = state.checkpoint() if spark.sparkContext.getCheckpointDir() else state.persist()
+        state = cut(state)
     mapped = many_ref.join(state, all_keys).select(*all_keys, (F.col("s") * F.col("r") + F.col("o")).alias("t"))
     hits = greedy_match(mapped, many_own, all_keys, "t", tol + 1e-9).groupBy(*all_keys).agg(F.count(F.lit(1)).alias("matched"))
     ranked = state.join(hits, all_keys, "left").na.fill(0, ["matched"]).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("matched"), "scale_no"))).where("_n = 1")

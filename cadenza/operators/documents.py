@@ -69,10 +69,13 @@ def event_rows(docs: DataFrame, keys: list[str], document: str) -> DataFrame:
 
 def checked(docs: DataFrame, keys: list[str], document: str) -> DataFrame:
     """The same rows; reading one whose document breaks a rule raises. Writers and readers share the rule tables."""
-    broken = document_violations(docs, keys, document).unionByName(event_violations(docs, keys, document).select(*keys, "rule"))
-    rules = broken.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("rule")), ", ").alias("_rules"))
-    wrong = F.raise_error(F.concat(F.lit("rules broken: "), F.col("_rules"))).cast("string")
-    return docs.join(rules, keys, "left").withColumn(document, F.when(F.col("_rules").isNull(), F.col(document)).otherwise(wrong)).drop("_rules")
+    own = document_violations(docs, keys, document).groupBy(*keys).agg(F.collect_set("rule").alias("_own"))
+    events = event_violations(docs, keys, document).groupBy(*keys).agg(F.collect_set("rule").alias("_events"))
+    joined = docs.join(own, keys, "left").join(events, keys, "left")
+    none = F.array().cast("array<string>")
+    rules = F.array_sort(F.array_union(F.coalesce("_own", none), F.coalesce("_events", none)))
+    wrong = F.raise_error(F.concat(F.lit("rules broken: "), F.array_join(rules, ", "))).cast("string")
+    return joined.withColumn(document, F.when(F.size(rules) == 0, F.col(document)).otherwise(wrong)).drop("_own", "_events")
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -100,11 +103,10 @@ def _time(event: Column) -> Column:
 def event_violations(docs: DataFrame, keys: list[str], document: str) -> DataFrame:
     """keys, event_no, rule for each broken rule of each event; text that is no JSON breaks ``json``."""
     parsed = docs.select(*keys, F.try_parse_json(document).alias("_d"))
-    broken = parsed.where("_d is null").select(*keys, F.lit(-1).alias("event_no"), F.lit("json").alias("rule"))
     coverage = F.coalesce(_get(F.col("_d"), "$.analysis.coverage", "array<struct<start:double,end:double>>"), F.array().cast("array<struct<start:double,end:double>>"))
     # an event travels with its own and its predecessor's time only
-    listed = parsed.where("_d is not null").select(*keys, coverage.alias("_cov"), F.posexplode(_get(F.col("_d"), "$.cut_events", "array<variant>")).alias("event_no", "_e"))
-    listed = listed.withColumn("_t", _time(F.col("_e")))
+    listed = parsed.select(*keys, F.col("_d").isNull().alias("_bad"), coverage.alias("_cov"), F.posexplode_outer(_get(F.col("_d"), "$.cut_events", "array<variant>")).alias("event_no", "_e"))
+    listed = listed.where("_bad or event_no is not null").withColumn("_t", _time(F.col("_e")))
     events = listed.withColumn("_before", F.lag("_t").over(Window.partitionBy(*keys).orderBy("event_no")))
     e, t, before = F.col("_e"), F.col("_t"), F.col("_before")
     kind, span = _get(e, "$.transition_kind", "string"), _has(e, "$.span")
@@ -124,7 +126,8 @@ def event_violations(docs: DataFrame, keys: list[str], document: str) -> DataFra
         "coverage": (F.size("_cov") > 0) & ~F.coalesce(F.exists("_cov", lambda c: t.between(c["start"], c["end"])), F.lit(False)),
     }
     names = F.filter(F.array(*[F.when(broke, F.lit(name)) for name, broke in rules.items()]), lambda x: x.isNotNull())
-    return events.select(*keys, "event_no", F.explode(names).alias("rule")).unionByName(broken)
+    names = F.when(F.col("_bad"), F.array(F.lit("json"))).otherwise(names)
+    return events.select(*keys, F.coalesce("event_no", F.lit(-1)).alias("event_no"), F.explode(names).alias("rule"))
 
 
 def document_violations(docs: DataFrame, keys: list[str], document: str, tag: str = FORMAT) -> DataFrame:

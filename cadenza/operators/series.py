@@ -48,16 +48,16 @@ def local_maxima(df: DataFrame, keys: list[str], order: str, value: str, height:
     return thin(found, keys, order, gap, [value])
 
 
-def _spaced(found: DataFrame, df: DataFrame, keys: list[str], order: str, gap: int, payload: list[str]) -> DataFrame:
-    """Found steps at least ``gap`` after the last kept, or after the sequence's first step."""
-    seed = df.groupBy(*keys).agg(F.min(order).alias(order)).select(*keys, order, F.lit(0).alias("_own"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in payload])
-    both = found.select(*keys, order, F.lit(1).alias("_own"), *payload).unionByName(seed)
-    return thin(both, keys, order, gap, ["_own", *payload]).where("_own = 1").drop("_own")
+def _spaced(df: DataFrame, good: Column, keys: list[str], order: str, gap: int, payload: list[str]) -> DataFrame:
+    """Good steps at least ``gap`` after the last kept, or after the sequence's first step, which is never one."""
+    first = F.col(order) == F.min(order).over(Window.partitionBy(*keys))
+    rows = df.withColumn("_first", first).where(F.col("_first") | good)
+    return thin(rows, keys, order, gap, ["_first", *payload]).where("not _first").drop("_first")
 
 
 def content_cuts(df: DataFrame, keys: list[str], order: str, value: str, threshold: float = 27.0, min_length: int = 15) -> DataFrame:
     """Steps whose change reaches a fixed threshold, scenes at least ``min_length`` long."""
-    return _spaced(df.where(F.col(value) >= threshold), df, keys, order, min_length, [value])
+    return _spaced(df, F.col(value) >= threshold, keys, order, min_length, [value])
 
 
 def ratio_cuts(df: DataFrame, keys: list[str], order: str, value: str, ratio: float = 3.0, least: float = 15.0, radius: int = 2, min_length: int = 15) -> DataFrame:
@@ -68,9 +68,9 @@ def ratio_cuts(df: DataFrame, keys: list[str], order: str, value: str, ratio: fl
     w = Window.partitionBy(*keys).orderBy(order)
     near = [F.lag(value, k).over(w) for k in range(1, radius + 1)] + [F.lead(value, k).over(w) for k in range(1, radius + 1)]
     mean = sum(near[1:], near[0]) / (2 * radius)
-    marked = df.withColumn("_mean", mean).where("_mean is not null")
     times = F.when(F.abs("_mean") < 1e-5, F.when(F.col(value) >= least, 255.0).otherwise(0.0)).otherwise(F.least(F.col(value) / F.col("_mean"), F.lit(255.0)))
-    return _spaced(marked.where((times >= ratio) & (F.col(value) >= least)), df, keys, order, min_length, [value])
+    good = F.col("_mean").isNotNull() & (times >= ratio) & (F.col(value) >= least)
+    return _spaced(df.withColumn("_mean", mean), good, keys, order, min_length, [value])
 
 
 def trailing_peak(df: DataFrame, keys: list[str], order: str, value: str, k: int = 5, name: str = "peak") -> DataFrame:
