@@ -15,41 +15,22 @@ from pyspark.sql.window import Window
 from cadenza.operators.folds import neighbours
 
 
-class _Matcher:
-    """One pass over a merged timeline: predictions wait until all truths within reach have come."""
-
-    def __init__(self, tol: int | float) -> None:
-        self.tol = tol
-        self.truths: list[tuple] = []  # unused, by (time, number in the list)
-        self.waiting: deque = deque()
-
-    def see(self, t, no: int | None) -> Iterator[tuple]:
-        while self.waiting and t - self.waiting[0] > self.tol:
-            yield from self.settle(self.waiting.popleft())
-        if no is None:
-            self.waiting.append(t)
-        else:
-            self.truths.append((t, no))
-
-    def rest(self) -> Iterator[tuple]:
-        while self.waiting:
-            yield from self.settle(self.waiting.popleft())
-
-    def settle(self, p) -> Iterator[tuple]:
-        own, gone = self.truths, 0
-        while gone < len(own) and p - own[gone][0] > self.tol:
-            gone += 1
+def _settle(own: list[tuple], p, tol):
+    """Take the nearest truth within ``tol`` out of ``own``, unused (time, number) in order, and return its time; truths behind reach go."""
+    gone = 0
+    while gone < len(own) and p - own[gone][0] > tol:
+        gone += 1
+    if gone:
         del own[:gone]
-        at = bisect_left(own, (p,))
-        best = None
-        if at:
-            best = (own[at - 1][0] - p, own[at - 1][1], at - 1)
-        if at < len(own):
-            last = bisect_right(own, (own[at][0], float("inf"))) - 1
-            right = (p - own[at][0], own[last][1], last)
-            best = right if best is None else max(best, right)
-        if best and -best[0] <= self.tol:
-            yield p, own.pop(best[2])[0]
+    at = bisect_left(own, (p,))
+    left = p - own[at - 1][0] if at else None
+    if at < len(own):
+        apart = own[at][0] - p
+        if left is None or apart <= left:
+            last = bisect_right(own, (own[at][0], float("inf"))) - 1  # of equal times the last in the list
+            if apart <= tol and (left is None or apart < left or own[last][1] > own[at - 1][1]):
+                return own.pop(last)[0]
+    return own.pop(at - 1)[0] if left is not None and left <= tol else None
 
 
 def greedy_match(pred: DataFrame, truth: DataFrame, keys: list[str], time: str, tol: int | float) -> DataFrame:
@@ -72,18 +53,38 @@ def greedy_match(pred: DataFrame, truth: DataFrame, keys: list[str], time: str,
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, matcher, own, types = None, _Matcher(tol), (), None
+        # predictions wait until all truths within reach have come
+        current, own, types = None, (), None
+        waiting: deque = deque()
+        truths: list[tuple] = []
+        pairs: list[tuple] = []
+
+        def settle() -> None:
+            p = waiting.popleft()
+            found = _settle(truths, p, tol)
+            if found is not None:
+                pairs.append((*own, p, found))
+
         for batch in batches:
             types = batch.schema.types[: n + 1]
-            pairs: list[tuple] = []
             for i, (t, no, name) in enumerate(zip(*(batch.column(n + c).to_pylist() for c in range(3)), strict=True)):
                 if name != current:
-                    pairs += [(*own, *x) for x in matcher.rest()]
-                    current, matcher, own = name, _Matcher(tol), tuple(batch.column(c)[i].as_py() for c in range(n))
-                pairs += [(*own, *x) for x in matcher.see(t, no)]
+                    while waiting:
+                        settle()
+                    truths.clear()
+                    current, own = name, tuple(batch.column(c)[i].as_py() for c in range(n))
+                while waiting and t - waiting[0] > tol:
+                    settle()
+                if no is None:
+                    waiting.append(t)
+                else:
+                    truths.append((t, no))
             yield made(pairs, types)
+            pairs.clear()
         if types is not None:
-            yield made([(*own, *x) for x in matcher.rest()], types)
+            while waiting:
+                settle()
+            yield made(pairs, types)
 
     def made(pairs: list[tuple], types: list) -> pa.RecordBatch:
         columns = list(zip(*pairs, strict=True)) or [()] * (n + 2)
