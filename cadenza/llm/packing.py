@@ -178,9 +178,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """One row per piece: id_col, piece, start, length, the kept columns, sequence_id, offset.
 
     ``keep`` names what else of a piece to return: ``ids`` (little-endian unsigned 32-bit integers)
-    or an empty tuple. Null and empty texts make a piece of the end id alone; null and repeated ids
-    are packed like any other row; ties are broken by input order within a partition; an empty table
-    gives an empty result; other columns are ignored.
+    or an empty tuple. Null and empty texts make a piece of the end id alone; texts are whole, however
+    long; ids are integers, and null and repeated ones are packed like any other row; ties are broken by
+    input order within a partition; an empty table gives an empty result; other columns are ignored,
+    whatever their names.
     """
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "packing")
     pieces = ws.save(tokenised_pieces(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("ids_crc32", F.crc32("ids")), "pieces", "zstd")

@@ -375,7 +375,7 @@ def discount(once: int, twice: int) -> float:
 def score(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, most: int = HEAD_GRAMS, head_words: int = HEAD_WORDS, low_grams: int = LOW_GRAMS) -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``; counts come from all of ``learn``.
 
-    Whole texts, however long, null as empty (one end token). Repeated rows and null ids stay; other
+    Whole texts, however long, null as empty (one end token). Repeated rows and null ids stay (ids are integers); other
     columns are ignored, whatever their names; without rows to learn from every token is unknown and
     the model is uniform over bytes; an empty table gives an empty result. ``most``, ``head_words`` and
     ``low_grams`` bound what executors hold and change no score.

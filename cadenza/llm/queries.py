@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import decontam, embed_dedup, langid, licenses, packing, ppm, sampling, simhash, tokenfile, toxicity, warc
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(fold: int) -> Column:
+    """Whether the row's fold is left out of learning; rows without id are never learned from."""
+    return F.coalesce(sampling.fold("doc_id") == fold, F.lit(True)).alias("held_out")
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = licenses.scan_rows(docs.select("doc_id", "text"), licenses.train(docs))
@@ -35,7 +40,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify_rows(docs.select("doc_id", "text"), langid.train(docs))
-    return found.select("doc_id", (sampling.fold("doc_id") == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", _held_out(0), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,14 +62,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = ppm.score(docs, ppm.learned(docs))
-    return found.withColumn("held_out", F.coalesce(sampling.fold("doc_id") == 1, F.lit(True)))
+    return found.select("*", _held_out(1))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, model)
-    return found.select("doc_id", (sampling.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", _held_out(0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,9 +203,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, fp long, component_id): one row per row of ``docs``.
 
     component_id is the smallest id reachable over links, the row's own included. Nulls: a null text
-    is an empty one (fingerprint zero, linked like any other); null ids keep their row but never
-    name a component unless nothing else does. Repeated rows and ties stay; an empty table gives an
-    empty result; other columns are ignored.
+    is an empty one (fingerprint zero, linked like any other); ids are integers, and null ids keep their
+    row but never name a component unless nothing else does. Texts are whole, however long, hashed in
+    stretches. Repeated rows and ties stay; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     ws = Workspace(docs.sparkSession, "simhash")
     prints = ws.save(fingerprints(docs, id_col, text_col, shingle), "fingerprints")

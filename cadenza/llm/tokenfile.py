@@ -231,8 +231,9 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, limit: int = LIMIT) -> DataFrame:
     """Write the file set into the shared folder and read it back: id_col, start, n_tokens, ids_crc32 and, if asked, ids.
 
-    Null texts count as empty and give the end id alone; null ids come first; repeated ids keep their
-    rows, in any order among themselves; an empty table gives an empty result.
+    Null texts count as empty and give the end id alone; texts are whole, however long; ids are integers
+    and null ids come first; repeated ids keep their rows, in any order among themselves; other columns
+    are ignored, whatever their names; an empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "token-ids")
     write(docs, ws.path("files"), tokenizer, end_id, id_col, text_col, limit)
