@@ -90,3 +90,13 @@ def duration(probed: Column, n_frames: Column, fps: Column) -> Column:
     seconds = F.coalesce(F.when(ok, probed), by_frames, F.lit(0.0))
     method = F.when(F.coalesce(ok, F.lit(False)), "probed").when(by_frames.isNotNull(), "frames").otherwise("none")
     return F.struct(seconds.alias("seconds"), method.alias("method"))
+
+
+def in_region(t: Column | str, lo: Column | float, hi: Column | float) -> Column:
+    """Whether a time lies in a closed region; false for null."""
+    return F.coalesce(_c(t).between(_c(lo), _c(hi)), F.lit(False))
+
+
+def drop_none(values: Column) -> Column:
+    """A map without its null values."""
+    return F.map_filter(values, lambda _, v: v.isNotNull())

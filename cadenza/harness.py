@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -34,3 +35,12 @@ def run_together(makers: Sequence[Callable[[], DataFrame]]) -> tuple[float, list
     with Timer() as timer, ThreadPoolExecutor(max(1, len(makers))) as pool:
         each = list(pool.map(lambda make: run_all(make()), makers))
     return timer.elapsed, each
+
+
+def provenance(folder: str) -> tuple[str | None, bool | None]:
+    """(commit, whether files differ from it) of a git folder; both null, never made up, where git or its data lack."""
+    try:
+        ask = lambda *words: subprocess.run(["git", *words], cwd=folder, capture_output=True, text=True, check=True).stdout.strip()
+        return ask("rev-parse", "HEAD"), bool(ask("status", "--porcelain"))
+    except (OSError, subprocess.CalledProcessError):
+        return None, None

@@ -82,6 +82,18 @@ def detect_vectors(records: DataFrame, keys: list[str], keep: float = 0.3, early
     return vector_events(scored.where(F.col("mv_score") >= keep), keys, "pts", "i", "mv_score")
 
 
+def label_candidates(probs: DataFrame, keys: list[str], step: str, heights: dict[str, float], kept: DataFrame, tol: int) -> DataFrame:
+    """keys, step, strength, kept: local maxima of several streams, each at its own height or above, as one list.
+
+    ``kept`` (keys, step) holds the cuts of the present list; the one candidate nearest to each, within ``tol``, is kept.
+    """
+    peaks = [series.local_maxima(probs, keys, step, stream, height).select(*keys, step, F.col(stream).alias("strength")) for stream, height in heights.items()]
+    merged = eventlist.merge_streams(peaks, keys, step, "strength")
+    chosen = nearest(kept, merged.select(*keys, step), keys, step, tol).where("match_time is not null")
+    flags = chosen.select(*keys, F.col("match_time").alias(step), F.lit(True).alias("kept")).distinct()
+    return merged.join(flags, [*keys, step], "left").na.fill(False, ["kept"])
+
+
 def structural_refine(cuts: DataFrame, edges: DataFrame, keys: list[str], ratio: float = 3.0, window: float = 8, most: int = 8, merge: float = 4) -> DataFrame:
     """keys, time: cuts of dense regions stay only if the edge signal (step, time, value over its median) breaks within one step of them."""
     us = cuts.withColumn("_us", F.rint(F.col("time") * _US).cast("long"))

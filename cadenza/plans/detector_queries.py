@@ -41,6 +41,36 @@ def detect_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("film", "time", "frame", "kind", F.round("value", 9).alias("value"))
 
 
+GUARDED = NET + f""",
+sr AS (SELECT film, frame, allf, sum(CASE WHEN allf >= 0.35 THEN 0 ELSE 1 END) OVER (PARTITION BY film ORDER BY frame) AS run FROM s), b AS (SELECT film, run, min(frame) AS lo, max(frame) AS hi FROM sr WHERE allf >= 0.35 GROUP BY film, run),
+ev AS (SELECT film, frame, 'hard' AS kind, prob AS value, 'transnet_peak_prob' AS metric, NULL::DOUBLE AS span_start, NULL::DOUBLE AS span_end FROM hard
+ UNION ALL SELECT c.film, c.frame, 'gradual', sr.allf, 'transnet_gradual_prob', CASE WHEN b.hi > b.lo THEN round_even(b.lo / 24.0, 4) END, CASE WHEN b.hi > b.lo THEN round_even(b.hi / 24.0, 4) END FROM c JOIN sr USING (film, frame) JOIN b USING (film, run)),
+u AS (SELECT *, round_even(frame / 24.0, 4) AS time, CAST(round_even(round_even(frame / 24.0, 4) * 1000000, 0) AS BIGINT) AS us FROM ev),
+n AS (SELECT film, us, count(*) OVER (PARTITION BY film ORDER BY us RANGE BETWEEN 4000000 PRECEDING AND 4000000 FOLLOWING) > 8 AS dense, us - lag(us) OVER (PARTITION BY film ORDER BY us) AS since FROM u),
+ch AS (SELECT *, sum(CASE WHEN since IS NULL OR (NOT dense AND since >= 4000000) THEN 1 ELSE 0 END) OVER (PARTITION BY film ORDER BY us ROWS UNBOUNDED PRECEDING) AS chain FROM n),
+rg AS (SELECT *, max(dense) OVER (PARTITION BY film, chain ORDER BY us ROWS UNBOUNDED PRECEDING) AS inside FROM ch),
+kept AS (SELECT film, us FROM rg WHERE NOT inside UNION ALL SELECT film, unnest({thin_sql('list(us ORDER BY us)', '2500000')}) AS us FROM rg WHERE inside GROUP BY film, chain)"""
+
+
+@Q("detect_net_guarded", GUARDED + " SELECT film, time, frame, kind, round(value, 9) AS value, metric, span_start, span_end FROM u JOIN kept USING (film, us)")
+def detect_net_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole detector: spans, metrics, and bursts thinned."""
+    probs = signal(spark, sf_dir).select("film", F.col("i").alias("frame"), F.least(F.col("score") / 120, F.lit(1.0)).alias("single"), F.least(F.col("score") / 90, F.lit(1.0)).alias("allf"))
+    return detectors.detect_net(probs, ["film"]).withColumn("value", F.round("value", 9))
+
+
+@Q("label_candidates", f"""
+WITH {SIG}, w AS (SELECT film, i, score, lag(score) OVER o AS b, lead(score) OVER o AS a, score * 0.7 AS other FROM sig WINDOW o AS (PARTITION BY film ORDER BY i)),
+m AS (SELECT film, i, score AS v FROM w WHERE score >= 40 AND score >= b AND score > a), n AS (SELECT film, i, other AS v FROM w WHERE other >= 30 AND score >= b AND score > a),
+c AS (SELECT film, i, max(v) AS strength FROM (SELECT * FROM m UNION ALL SELECT * FROM n) GROUP BY film, i), k AS (SELECT film, i AS t FROM sig WHERE event_type = 'click'),
+d AS (SELECT k.film, k.t, c.i, row_number() OVER (PARTITION BY k.film, k.t ORDER BY abs(c.i - k.t), c.i) AS n FROM k JOIN c ON c.film = k.film AND abs(c.i - k.t) <= 2), f AS (SELECT DISTINCT film, i FROM d WHERE n = 1)
+SELECT c.film, c.i, round(strength, 9) AS strength, f.i IS NOT NULL AS kept FROM c LEFT JOIN f USING (film, i)""")
+def label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = signal(spark, sf_dir, "event_type").withColumn("other", F.col("score") * 0.7)
+    found = detectors.label_candidates(s, ["film"], "i", {"score": 40.0, "other": 30.0}, s.where("event_type = 'click'").select("film", "i"), 2)
+    return found.withColumn("strength", F.round("strength", 9))
+
+
 @Q("image_similarity")
 def image_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural similarity of each embedding, read as an 8 x 8 image, with its label's first; tested against a plain filter."""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza import harness
+from cadenza.functions import timecode
 from cadenza.operators import align, detectors, eventlist, folds, images, lineage, matching, runs, sweeps
 from cadenza.sources import frames
 
@@ -136,6 +137,12 @@ def test_the_densest_cluster_of_random_differences(spark):
         assert r["votes"] == votes and (middle is None or r["offset"] == middle)
 
 
+def test_provenance_is_never_made_up(spark, tmp_path):
+    assert harness.provenance(str(tmp_path / "none")) == (None, None) and harness.provenance("/") == (None, None)
+    row = spark.range(1).select(timecode.drop_none(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(None).cast("int"))).alias("m"), timecode.in_region(F.lit(2.0), 2.0, 3.0).alias("i"), timecode.in_region(F.lit(None).cast("double"), 2.0, 3.0).alias("n")).first()
+    assert row["m"] == {"a": 1} and row["i"] is True and row["n"] is False
+
+
 def test_harness_and_lineage(spark):
     assert harness.run_all(spark.range(10)) > 0
     wall, each = harness.run_together([lambda: spark.range(5), lambda: spark.range(6)])
