@@ -36,6 +36,11 @@ def held(key: str, make: Callable[[], Any]) -> Any:
     return _held[key]
 
 
+def release() -> None:
+    """Give back what an earlier stage's model holds in this process; for stages that need none."""
+    held("", lambda: None)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in batches of at most ``limit`` bytes of ``column`` (or one row)."""
     for batch in batches:

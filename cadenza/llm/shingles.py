@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.arrowtext import encode_words, ragged_take, slices, texts_of
+from cadenza.llm.arrowtext import encode_words, ragged_take, release, slices, texts_of
 from cadenza.llm.bktree import PackedBKTree
 from cadenza.llm.graph import connected_components
 from cadenza.llm.ppm import split
@@ -44,6 +44,8 @@ _PRINTS = "id long, key long, fp long, sim long, n int, parity binary, prefix ar
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Candidate pairs that a task holds before it sends the distinct ones on.
 _FLUSH = 1 << 20
+#: Bytes of text whose shingles are held at once.
+_SLICE = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,7 +122,8 @@ def _listed(values: pa.Array, offsets: np.ndarray) -> pa.Array:
 
 def _prints(docs: DataFrame, frequent: np.ndarray, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        release()
+        for batch in slices(batches, "text", _SLICE):
             members, offsets = shingle_sets(texts_of(batch, "text"), words)
             sizes = np.diff(offsets)
             raw, ends = members.tobytes(), (offsets * 8).tolist()
@@ -145,7 +148,8 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     """Hashes in at least one of FREQUENT rows of a sample of rows, eight rows at least; their number does not grow with the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        release()
+        for batch in slices(batches, "text", _SLICE):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(texts_of(batch, "text"), words)[0].view(np.int64))], ["h"])
 
     sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
@@ -276,28 +280,21 @@ def _verified(pairs: DataFrame, named: DataFrame, source: DataFrame, words: int)
     """The pairs (a, b) of sets that are in fact 0.8 alike; named(fp, key) has a row of ``source`` for each set."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE):
             found, offsets = shingle_sets(texts_of(batch, "text"), words)
             raw, ends = found.tobytes(), (offsets * 8).tolist()
-            sets = [raw[s:e] for s, e in zip(ends, ends[1:], strict=False)]
             # rows of other texts may bear the same key
-            own = [_name(x) == fp for x, fp in zip(sets, batch.column(0).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "members"]).filter(pa.array(own, pa.bool_()))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                good.append(9 * common >= 4 * (len(a) + len(b)))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            own = [_name(raw[s:e]) == fp for s, e, fp in zip(ends, ends[1:], batch.column(0).to_pylist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(pa.array(found.view(np.int64)), offsets)], ["fp", "members"]).filter(pa.array(own, pa.bool_()))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     texts = source.join(named.join(ends, "fp", "left_semi"), "key").select("fp", "text")
-    sets = texts.mapInArrow(members, "fp long, members binary").groupBy("fp").agg(F.first("members").alias("members"))
+    sets = texts.mapInArrow(members, "fp long, members array<long>").groupBy("fp").agg(F.first("members").alias("members"))
     side = lambda name: sets.select(F.col("fp").alias(name), F.col("members").alias(f"of_{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
+    # row by row in Spark: batches of pairs of long texts would be large
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    alike = 9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b"))
+    return both.where(alike).select("a", "b")
 
 
 def _dealt(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
