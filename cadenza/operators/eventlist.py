@@ -53,7 +53,8 @@ def collapse_region(df: DataFrame, keys: list[str], time: str, lo: Column, hi: C
 def override_regions(base: DataFrame, human: DataFrame, regions: DataFrame, keys: list[str], time: str) -> DataFrame:
     """keys, time, kind after all overrides in their order.
 
-    ``regions``: keys, region_no, lo, hi; ``human``: keys, region_no, time. An event stands if no later
+    ``regions``: keys, region_no, lo, hi, a few per key, as people draw them: they travel as one list.
+    ``human``: keys, region_no, time. An event stands if no later
     override covers it: a base event if no region does, a human event in its own region if no region
     of a higher number does. The kind is ``movienet+human`` after one override and ``human`` after more.
     """
