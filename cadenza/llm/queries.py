@@ -93,4 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op2_warc_archive": warc.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc_archive": warc.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE}

@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -60,6 +61,16 @@ def run(spark, tables):
     return one
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_agrees(spark, tables, run, name):
+    duck = duckdb.connect()
+    for table in ("pages", "embeddings"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tables[0]}/{table}.parquet/*.parquet'")
+    expected = duck.sql(queries.ORACLES[name])
+    found = [tuple(r[c] for c in expected.columns) for r in run(name)]
+    assert sorted(found, key=repr) == sorted(expected.fetchall(), key=repr)
+
+
 def fold(i):
     return zlib.crc32(str(i).encode()) % 5
 
