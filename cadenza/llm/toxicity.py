@@ -38,6 +38,8 @@ from cadenza.llm.sampling import fold, texts_of_ids
 
 SAMPLE_ROWS = 2000
 DISCOUNT = 0.75
+#: Bytes of text scored at once.
+SLICE_BYTES = 2 << 20
 #: Choices, taken by the loss on left-out rows: standard deviations that a count gives to the shared counts.
 SIGMAS = (0.0, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0)
 #: Added to a count and to its expectation.
@@ -83,6 +85,11 @@ class Model:
             both[:, seen] += self.top[at[seen]] * self.pair_lift[:, at[seen]]
         return np.log(both * self.lift[:, ids]) - self.norm[:, previous], offsets
 
+    def slim(self) -> Model:
+        """Without the pairs that both classes lift alike: likelihoods differ, their difference, the evidence, does not."""
+        apart = self.pair_lift[0] != self.pair_lift[1]
+        return dataclasses.replace(self, pairs=self.pairs[apart], top=self.top[apart], pair_lift=self.pair_lift[:, apart])
+
     def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(mean log-likelihood ratio, number of words) by text."""
         (ordinary, toxic), offsets = self.log_likelihoods(texts)
@@ -259,14 +266,14 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     Whole texts, however long; equal texts score alike. Null and empty texts, and texts without a word, get the learned base rate. Repeated
     rows stay; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model.slim()))
     key = uuid.uuid4().hex
     source = docs.drop("score")
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held(key, lambda: pickle.loads(shared.value))
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(texts_of(batch, text_col)), pa.float64())], [*names, "score"])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -155,6 +155,13 @@ def test_class_probabilities_match_slow_ones_and_sum_to_one(sigmas):
             assert np.allclose(found[:, c], [slow[w] for w in [*vocabulary[1:], "?"]]) and found[:, c].sum() == pytest.approx(1)
 
 
+def test_what_executors_hold_gives_the_same_scores():
+    rows = corpus(300, 6)
+    model = toxicity.fit([r[1] for r in rows], np.array([r[5] for r in rows]), 0.3)
+    texts = pa.array([r[1] for r in corpus(200, 7)] + [""], pa.large_string())
+    assert len(model.slim().pairs) < len(model.pairs) and np.allclose(model.slim().score(texts), model.score(texts), rtol=1e-9)
+
+
 def test_equal_texts_tie_and_repeats_stay(spark, tables):
     _, docs, labels = tables
     model = toxicity.train(docs, labels, sample_rows=200)
