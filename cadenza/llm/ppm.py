@@ -51,7 +51,7 @@ END = 10  # a byte that no token contains
 ALPHABET = 252
 #: Entries a counting task holds before it sends them on.
 FLUSH = 1_000_000
-#: Bytes of text scored at once, and windows of them.
+#: Bytes of text counted or scored at once, and windows of them.
 SLICE_BYTES, TOGETHER = 2 << 20, 1 << 19
 
 
@@ -253,7 +253,7 @@ def count(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFr
             grams.clear()
             return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], schema=schema)
 
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE_BYTES):
             parts = split(texts_of(batch, text_col))
             coded = parts.flatten().dictionary_encode()
             found = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).tolist()
