@@ -11,10 +11,10 @@ are frequent in a sample come last, which keeps shards small; the sample decides
 
 A shard's fingerprints stand in a BK-tree, followed along the edges within the radius. Sizes must agree
 to 0.8. Shards of up to ``SMALL`` sets give all their pairs at once. Larger ones first link each set to
-its nearest neighbour; what is then in one component is not paired again, and of the rest only pairs
-whose parity maps allow it: such a map has a bit for each of ``PARITIES`` residues, set if an odd number
-of shingles fall there, and two maps never differ in more bits than the sets in shingles. Shards over
-``BLOCK`` sets are dealt out as pairs of blocks. Every pair left is compared shingle by shingle.
+its nearest neighbour; what is then in one component is not paired again. Parity maps must allow every
+pair: such a map has a bit for each of ``PARITIES`` residues, set if an odd number of shingles fall
+there, and two maps never differ in more bits than the sets in shingles. Shards over ``BLOCK`` sets are
+dealt out as pairs of blocks. Every pair left is compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _FLUSH = 1 << 20
 #: Bytes of text whose shingles are held at once.
 _SLICE = 1 << 20
+#: Buckets of keys that choose the texts to compare; bounds what is broadcast.
+_BUCKETS = 1 << 21
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -225,6 +227,33 @@ def _small(shards: DataFrame) -> DataFrame:
     return shards.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long, shard long, fp long")
 
 
+def _allowed(n: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs that the parity maps allow, bits in which the maps differ)."""
+    both = (n[i] + n[j]).astype(np.int64)
+    apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
+    return apart <= both - 2 * -(-4 * both // 9), apart
+
+
+def _maps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), PARITIES // 64)
+
+
+def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the parities in facts(fp, n, parity) allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = len(batch)
+            n = np.concatenate([batch.column(2).to_numpy(), batch.column(4).to_numpy()])
+            maps = np.concatenate([_maps(batch.column(3)), _maps(batch.column(5))])
+            keep, _ = _allowed(n, maps, np.arange(k), np.arange(k, 2 * k))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(keep))
+
+    side = lambda name: facts.select(F.col("fp").alias(name), F.col("n").alias(f"n_{name}"), F.col("parity").alias(f"parity_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "parity_a", "n_b", "parity_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _search(shards: DataFrame, every: bool) -> DataFrame:
     """shards(shard, side, fp, sim, n, parity, component) → distinct (a, b) by a BK-tree per shard.
 
@@ -235,7 +264,7 @@ def _search(shards: DataFrame, every: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _grouped(batches):
             keys, side, fps, sims, n, _, group = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            maps = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(fps), -1)
+            maps = _maps(batch.column(5))
             bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             found = []
             for s, e in zip(bounds, bounds[1:], strict=False):
@@ -248,9 +277,7 @@ def _search(shards: DataFrame, every: bool) -> DataFrame:
                     if every:
                         keep &= i > j
                     i, j = i[keep], j[keep]
-                    both = (n[i] + n[j]).astype(np.int64)
-                    apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
-                    keep = apart <= both - 2 * -(-4 * both // 9)
+                    keep, apart = _allowed(n, maps, i, j)
                     i, j, apart = i[keep], j[keep], apart[keep]
                     if every:
                         found.append(np.stack([i, j], axis=1))
@@ -276,7 +303,7 @@ def _pairs(fps: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=_PAIR)
 
 
-def _verified(pairs: DataFrame, named: DataFrame, source: DataFrame, words: int) -> DataFrame:
+def _verified(ws: Workspace, label: str, pairs: DataFrame, named: DataFrame, source: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) of sets that are in fact 0.8 alike; named(fp, key) has a row of ``source`` for each set."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,13 +315,20 @@ def _verified(pairs: DataFrame, named: DataFrame, source: DataFrame, words: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), _listed(pa.array(found.view(np.int64)), offsets)], ["fp", "members"]).filter(pa.array(own, pa.bool_()))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = source.join(named.join(ends, "fp", "left_semi"), "key").select("fp", "text")
+    wanted = ws.save(named.join(ends, "fp", "left_semi"), f"{label}-wanted")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)).alias("bucket")
+    # most texts are in no pair: their buckets tell before anything is shuffled
+    likely = source.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")
+    texts = likely.join(wanted, "key").select("fp", "text")
     sets = texts.mapInArrow(members, "fp long, members array<long>").groupBy("fp").agg(F.first("members").alias("members"))
     side = lambda name: sets.select(F.col("fp").alias(name), F.col("members").alias(f"of_{name}"))
     # row by row in Spark: batches of pairs of long texts would be large
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     alike = 9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b"))
-    return both.where(alike).select("a", "b")
+    verified = ws.save(both.where(alike).select("a", "b"), label)
+    ws.drop(f"{label}-wanted")
+    ws.settle()
+    return verified
 
 
 def _dealt(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
@@ -310,23 +344,29 @@ def _dealt(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
 
 
 def link_sets(ws: Workspace, prints: DataFrame, source: DataFrame, words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """(a, b) over the longs ``fp``: edges that connect exactly what similarities of 0.8 or more connect."""
+    """(a, b) over the longs ``fp``: edges that connect exactly what similarities of 0.8 or more connect; drops the table ``wide`` of prints."""
     one = prints.groupBy("fp").agg(F.min("key").alias("key"), F.first(F.struct("sim", "n", "parity", "prefix", "hot")).alias("x"))
     one = ws.save(one.where("x.n > 0").select("fp", "key", "x.*"), "sets")
+    ws.drop("wide")
+    ws.settle()
     rows = one.select("fp", "sim", "n", F.explode(F.arrays_zip("prefix", "hot")).alias("x")).select(F.col("x.prefix").alias("shard"), "fp", "sim", "n", F.col("x.hot").alias("hot"))
     # frequent shingles make large shards for sure; their rows never meet in one task
     found = ws.save(_small(rows.where("not hot").drop("hot")), "small")
     members = ws.save(found.where("shard is not null").select("shard", "fp").unionByName(rows.where("hot").select("shard", "fp")), "members")
     sizes = ws.save(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    facts, named = one.select("fp", "sim", "n", "parity"), one.select("fp", "key")
+    light = ws.save(one.select("fp", "key", "sim", "n", "parity"), "facts")
+    facts, named = light.select("fp", "sim", "n", "parity"), light.select("fp", "key")
+    ws.drop("sets")
+    ws.settle()
     shards = _dealt(members.join(facts, "fp").withColumn("component", F.col("fp")), sizes, block)
-    first = found.where("a is not null").select("a", "b").unionByName(_search(shards, False)).distinct()
-    edges = ws.save(_verified(ws.save(first, "nearest"), named, source, words), "edges")
+    pairs = found.where("a is not null").select("a", "b").distinct()
+    first = _possible(pairs, facts).unionByName(_search(shards, False)).distinct()
+    edges = _verified(ws, "edges", ws.save(first, "nearest"), named, source, words)
     groups = connected_components(ws, edges, "nearest").select(F.col("node").alias("fp"), "component")
     later = members.join(facts, "fp").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     rest = ws.save(_search(_dealt(later, sizes, block), True).join(edges, ["a", "b"], "left_anti"), "rest")
-    more = ws.save(_verified(rest, named, source, words), "edges-rest")
-    ws.drop("small", "members", "sizes", "nearest", "rest", "sets")
+    more = _verified(ws, "edges-rest", rest, named, source, words)
+    ws.drop("small", "members", "sizes", "nearest", "rest", "facts")
     return edges.unionByName(more)
 
 
@@ -335,5 +375,6 @@ def find(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, block:
     ws = Workspace(docs.sparkSession, "shingles")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     source = source.select("id", F.coalesce("id", F.xxhash64("text")).alias("key"), "text")
-    prints = ws.save(_prints(source, _frequent(source, words), words), "prints")
-    return ws, prints.select("id", "fp"), link_sets(ws, prints, source, words, block)
+    wide = ws.save(_prints(source, _frequent(source, words), words), "wide")
+    prints = ws.save(wide.select("id", "fp"), "prints")
+    return ws, prints, link_sets(ws, wide, source, words, block)

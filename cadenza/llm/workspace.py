@@ -57,6 +57,10 @@ class Workspace:
         for label in labels:
             self._delete(self.path(label))
 
+    def settle(self) -> None:
+        """Has Spark delete the shuffle files of finished jobs, which stay until the driver's JVM collects their plans."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:

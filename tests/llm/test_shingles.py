@@ -106,3 +106,24 @@ def test_one_id_for_several_texts(spark):
 def _plain(t):
     w = t.lower().split()
     return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def test_texts_that_share_a_line_are_no_candidates(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    line = rng.choices(words, k=30)
+    texts = [" ".join(line + rng.choices(words, k=30)) for _ in range(30)]
+    texts.append(texts[4] + " end")
+    compared = []
+    save = shingles.Workspace.save
+
+    def seen(self, df, label, *rest):
+        out = save(self, df, label, *rest)
+        if label == "nearest":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles.Workspace, "save", seen)
+    found = simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {**{i: i for i in range(30)}, 30: 4}
+    assert compared == [1]
