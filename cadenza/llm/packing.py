@@ -31,6 +31,8 @@ from cadenza.llm.workspace import Workspace
 
 CAPACITY = 2048
 END_ID = 0
+#: Bytes of text encoded at once: less than elsewhere, as the pipeline's executors hold more beside it.
+_SLICE = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -153,7 +155,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, seen = bpe.load(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text", bpe.SLICE_BYTES):
+        for batch in slices(batches, "text", _SLICE):
             ids, offsets = encoder.encode(texts_of(batch, "text"))
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
             offsets = offsets + np.arange(len(offsets))

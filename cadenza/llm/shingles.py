@@ -9,12 +9,16 @@ shingles instead. In any fixed order of all shingles, two sets 0.8 alike share o
 n - ceil(0.8 n) + 1, so each set goes to one shard per such shingle and no pair is lost. Shingles that
 are frequent in a sample come last, which keeps shards small; the sample decides nothing else.
 
-A shard's fingerprints stand in a BK-tree, followed along the edges within the radius. Sizes must agree
-to 0.8. Shards of up to ``SMALL`` sets give all their pairs at once. Larger ones first link each set to
-its nearest neighbour; what is then in one component is not paired again. Parity maps must allow every
-pair: such a map has a bit for each of ``PARITIES`` residues, set if an odd number of shingles fall
-there, and two maps never differ in more bits than the sets in shingles. Shards over ``BLOCK`` sets are
-dealt out as pairs of blocks. Every pair left is compared shingle by shingle.
+Shards of up to ``SMALL`` sets compare all their pairs: fingerprints within the radius, and sizes and
+places of the shard's shingle in both orders that 0.8 allows, as only what follows the first shared
+shingle can be shared. Sets with the same first shingle meet in its shard and are left out elsewhere. A
+shard gives its pairs, or the sets in them where those are fewer: never more rows than it has.
+
+Those sets and the larger shards stand in BK-trees, followed along the edges within the radius. They
+first link each set to its nearest neighbour; what is then in one component is not paired again. Parity
+maps must allow every pair: such a map has a bit for each of ``PARITIES`` residues, set if an odd number
+of shingles fall there, and two maps never differ in more bits than the sets in shingles. Shards over
+``BLOCK`` sets are dealt out as pairs of blocks. Every pair left is compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _FLUSH = 1 << 20
 #: Bytes of text whose shingles are held at once.
 _SLICE = 1 << 20
+#: A place's low bits: the set's size and the sixteenth of the prefix; above them the code of the first shingle.
+_PLACE_BITS = 35
 #: Buckets of keys that choose the texts to compare; bounds what is broadcast.
 _BUCKETS = 1 << 21
 
@@ -189,20 +195,39 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
+def _placed(sets: DataFrame) -> DataFrame:
+    """(shard, fp, sim, place, hot) for each shingle of the sets' prefixes."""
+    rows = sets.select("fp", "sim", "n", F.element_at("prefix", 1).alias("first"), F.posexplode(F.arrays_zip("prefix", "hot")).alias("at", "x"))
+    sixteenth = F.expr("16L * at div (n div 5 + 1)")
+    size = F.col("n").cast("long") * 16 + sixteenth
+    place = F.shiftleft("first", _PLACE_BITS).bitwiseOR(size)
+    return rows.select(F.col("x.prefix").alias("shard"), "fp", "sim", place.alias("place"), F.col("x.hot").alias("hot"))
+
+
 def _small(shards: DataFrame) -> DataFrame:
-    """shards(shard, fp, sim, n) → (a, b, shard, fp): candidate pairs of small shards, and the members of the others."""
-    schema = pa.schema([*_PAIR, ("shard", pa.int64()), ("fp", pa.int64())])
+    """shards(shard, fp, sim, place) → (a, b, shard, fp): candidate pairs of small shards, and the members of the others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    A small shard whose sets form more pairs than they are gives those sets, under a name of their own
+    that equal groups share.
+    """
+    schema = pa.schema([*_PAIR, ("shard", pa.int64()), ("fp", pa.int64())])
 
-        def pairs() -> pa.RecordBatch:
-            ends = np.unique(np.concatenate(held), axis=0)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.nulls(len(ends), pa.int64()), pa.nulls(len(ends), pa.int64())], schema=schema)
+    def rows(held: list[np.ndarray], pairs: bool) -> pa.RecordBatch:
+        ends = np.unique(np.concatenate(held), axis=0)
+        held.clear()
+        none, both = [pa.nulls(len(ends), pa.int64())] * 2, [pa.array(ends[:, 0]), pa.array(ends[:, 1])]
+        return pa.RecordBatch.from_arrays([*both, *none] if pairs else [*none, *both], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[np.ndarray] = []
+        groups: list[np.ndarray] = []
         for batch in _grouped(batches):
-            keys, fps, sims, n = (c.to_numpy() for c in batch.columns)
+            keys, fps, sims, place = (c.to_numpy() for c in batch.columns)
+            sims, place = sims.view(np.uint64), place.view(np.uint64)
+            first, low = place >> np.uint64(_PLACE_BITS), (place & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+            n = low >> 4
+            after = n + (-(low & 15) * (n // 5 + 1) // 16)  # the shingle itself and what follows it, or a little more
+            here = (keys.view(np.uint64) << np.uint64(_PLACE_BITS)) >> np.uint64(_PLACE_BITS) == first
             starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
             sizes = np.diff(np.concatenate([starts, [len(keys)]]))
             large = np.flatnonzero(sizes > SMALL)
@@ -210,18 +235,36 @@ def _small(shards: DataFrame) -> DataFrame:
                 at = ragged_take(starts[large], sizes[large])
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(keys[at]), pa.array(fps[at])], schema=schema)
             for size in range(2, SMALL + 1):  # all shards of a size at once: too small for trees
-                first = starts[sizes == size]
-                if not len(first):
+                own = starts[sizes == size]
+                if not len(own):
                     continue
                 left, right = np.triu_indices(size, 1)
-                i, j = (first[:, None] + left).ravel(), (first[:, None] + right).ravel()
-                near = (np.bitwise_count(sims[i].view(np.uint64) ^ sims[j].view(np.uint64)) <= RADIUS) & _alike(n, i, j)
+                i, j = own[:, None] + left, own[:, None] + right
+                near = 9 * np.minimum(after[i], after[j]) >= 4 * (n[i] + n[j])
+                near &= (np.bitwise_count(sims[i] ^ sims[j]) <= RADIUS) & ((first[i] != first[j]) | here[i])
+                if not near.any():
+                    continue
+                inside = np.zeros((len(own), size), bool)
+                for pair in np.flatnonzero(near.any(axis=0)).tolist():
+                    inside[:, left[pair]] |= near[:, pair]
+                    inside[:, right[pair]] |= near[:, pair]
+                many = near.sum(axis=1) > inside.sum(axis=1)
+                near[many] = False
                 if near.any():
-                    held.append(np.sort(np.stack([fps[i[near]], fps[j[near]]], axis=1), axis=1))
-            if sum(map(len, held)) > _FLUSH:
-                yield pairs()
-        if held:
-            yield pairs()
+                    pairs.append(np.sort(np.stack([fps[i[near]], fps[j[near]]], axis=1), axis=1))
+                if many.any():
+                    sets, inside = fps[own[many][:, None] + np.arange(size)], inside[many]
+                    # a 64-bit name may be shared by chance; that only puts more sets into one search
+                    names = _mix((_mix(sets.view(np.uint64)) * inside).sum(axis=1, dtype=np.uint64)).view(np.int64)
+                    groups.append(np.stack([np.broadcast_to(names[:, None], sets.shape)[inside], sets[inside]], axis=1))
+            if sum(map(len, pairs)) > _FLUSH:
+                yield rows(pairs, True)
+            if sum(map(len, groups)) > _FLUSH:
+                yield rows(groups, False)
+        if pairs:
+            yield rows(pairs, True)
+        if groups:
+            yield rows(groups, False)
 
     parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return shards.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long, shard long, fp long")
@@ -349,10 +392,10 @@ def link_sets(ws: Workspace, prints: DataFrame, source: DataFrame, words: int =
     one = ws.save(one.where("x.n > 0").select("fp", "key", "x.*"), "sets")
     ws.drop("wide")
     ws.settle()
-    rows = one.select("fp", "sim", "n", F.explode(F.arrays_zip("prefix", "hot")).alias("x")).select(F.col("x.prefix").alias("shard"), "fp", "sim", "n", F.col("x.hot").alias("hot"))
+    rows = _placed(one)
     # frequent shingles make large shards for sure; their rows never meet in one task
     found = ws.save(_small(rows.where("not hot").drop("hot")), "small")
-    members = ws.save(found.where("shard is not null").select("shard", "fp").unionByName(rows.where("hot").select("shard", "fp")), "members")
+    members = ws.save(found.where("shard is not null").select("shard", "fp").unionByName(rows.where("hot").select("shard", "fp")).distinct(), "members")
     sizes = ws.save(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     light = ws.save(one.select("fp", "key", "sim", "n", "parity"), "facts")
     facts, named = light.select("fp", "sim", "n", "parity"), light.select("fp", "key")

@@ -127,3 +127,24 @@ def test_texts_that_share_a_line_are_no_candidates(spark, monkeypatch):
     found = simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {**{i: i for i in range(30)}, 30: 4}
     assert compared == [1]
+
+
+def test_shards_make_no_more_rows_than_they_have(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    base = rng.choices(words, k=100)
+    texts = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 93, 3)]
+    rows_of = []
+    plain = shingles._small
+
+    def counted(shards):
+        out = plain(shards)
+        rows_of.append((shards.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(shingles, "_small", counted)
+    monkeypatch.setattr(shingles, "_frequent", lambda *_: np.zeros(0, np.uint64))
+    found = simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["component_id"] for r in found.collect()} == {0}
+    ((taken, made),) = rows_of
+    assert 0 < made <= taken
