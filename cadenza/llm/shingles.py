@@ -42,6 +42,8 @@ RADIUS = 24
 SMALL = 32
 BLOCK = 2048
 PARITIES = 512
+#: Residues of the maps that are made of the texts in candidate pairs: large sets fill the small maps.
+FINE = 8192
 #: Share of rows, and of those the share that makes a shingle frequent: both only order the shingles.
 SAMPLE, FREQUENT = 16, 1000
 _PRINTS = "id long, key long, fp long, sim long, n int, parity binary, prefix array<long>, hot array<boolean>"
@@ -112,11 +114,11 @@ def simhashes(members: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def parities(members: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of ``PARITIES`` / 8 bytes for each set."""
+def parities(members: np.ndarray, offsets: np.ndarray, residues: int = PARITIES) -> np.ndarray:
+    """A row of ``residues`` / 8 bytes for each set."""
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    odd = np.bincount(doc * PARITIES + (members % np.uint64(PARITIES)).astype(np.int64), minlength=(len(offsets) - 1) * PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, PARITIES), axis=1, bitorder="little")
+    odd = np.bincount(doc * residues + (members % np.uint64(residues)).astype(np.int64), minlength=(len(offsets) - 1) * residues) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, residues), axis=1, bitorder="little")
 
 
 def _name(members: bytes) -> int:
@@ -277,18 +279,18 @@ def _allowed(n: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray) -> t
     return apart <= both - 2 * -(-4 * both // 9), apart
 
 
-def _maps(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), PARITIES // 64)
+def _maps(column: pa.Array, residues: int = PARITIES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), residues // 64)
 
 
-def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, facts: DataFrame, residues: int = PARITIES) -> DataFrame:
     """The pairs (a, b) that the parities in facts(fp, n, parity) allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = len(batch)
             n = np.concatenate([batch.column(2).to_numpy(), batch.column(4).to_numpy()])
-            maps = np.concatenate([_maps(batch.column(3)), _maps(batch.column(5))])
+            maps = np.concatenate([_maps(batch.column(3), residues), _maps(batch.column(5), residues)])
             keep, _ = _allowed(n, maps, np.arange(k), np.arange(k, 2 * k))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(keep))
 
@@ -349,27 +351,41 @@ def _pairs(fps: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
 def _verified(ws: Workspace, label: str, pairs: DataFrame, named: DataFrame, source: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) of sets that are in fact 0.8 alike; named(fp, key) has a row of ``source`` for each set."""
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]]:
         for batch in slices(batches, "text", _SLICE):
             found, offsets = shingle_sets(texts_of(batch, "text"), words)
             raw, ends = found.tobytes(), (offsets * 8).tolist()
             # rows of other texts may bear the same key
             own = [_name(raw[s:e]) == fp for s, e, fp in zip(ends, ends[1:], batch.column(0).to_pylist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(pa.array(found.view(np.int64)), offsets)], ["fp", "members"]).filter(pa.array(own, pa.bool_()))
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = ws.save(named.join(ends, "fp", "left_semi"), f"{label}-wanted")
-    bucket = F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)).alias("bucket")
-    # most texts are in no pair: their buckets tell before anything is shuffled
-    likely = source.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")
-    texts = likely.join(wanted, "key").select("fp", "text")
-    sets = texts.mapInArrow(members, "fp long, members array<long>").groupBy("fp").agg(F.first("members").alias("members"))
+            yield batch.column(0), found, offsets, pa.array(own, pa.bool_())
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fps, found, offsets, own in read(batches):
+            yield pa.RecordBatch.from_arrays([fps, _listed(pa.array(found.view(np.int64)), offsets)], ["fp", "members"]).filter(own)
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fps, found, offsets, own in read(batches):
+            fine = pa.array([x.tobytes() for x in parities(found, offsets, FINE)], pa.binary())
+            yield pa.RecordBatch.from_arrays([fps, pa.array(np.diff(offsets).astype(np.int32)), fine], ["fp", "n", "parity"]).filter(own)
+
+    def texts(pairs: DataFrame, name: str) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        wanted = ws.save(named.join(ends, "fp", "left_semi"), name)
+        bucket = F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)).alias("bucket")
+        # most texts are in no pair: their buckets tell before anything is shuffled
+        likely = source.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi")
+        return likely.join(wanted, "key").select("fp", "text")
+
+    facts = texts(pairs, f"{label}-wanted").mapInArrow(maps, "fp long, n int, parity binary").groupBy("fp").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    pairs = ws.save(_possible(pairs, facts, FINE), f"{label}-possible")
+    ws.settle()
+    sets = texts(pairs, f"{label}-compared").mapInArrow(members, "fp long, members array<long>").groupBy("fp").agg(F.first("members").alias("members"))
     side = lambda name: sets.select(F.col("fp").alias(name), F.col("members").alias(f"of_{name}"))
     # row by row in Spark: batches of pairs of long texts would be large
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     alike = 9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b"))
     verified = ws.save(both.where(alike).select("a", "b"), label)
-    ws.drop(f"{label}-wanted")
+    ws.drop(f"{label}-wanted", f"{label}-possible", f"{label}-compared")
     ws.settle()
     return verified
 

@@ -148,3 +148,12 @@ def test_shards_make_no_more_rows_than_they_have(spark, monkeypatch):
     assert {r["component_id"] for r in found.collect()} == {0}
     ((taken, made),) = rows_of
     assert 0 < made <= taken
+
+
+def test_fine_maps_tell_large_sets_apart(spark):
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, 4500).astype(np.uint64)
+    members, offsets = np.concatenate([np.sort(hashes[:3000]), np.sort(hashes[1500:])]), np.array([0, 3000, 6000])
+    for residues, kept in ((shingles.PARITIES, 1), (shingles.FINE, 0)):
+        maps = shingles.parities(members, offsets, residues)
+        facts = spark.createDataFrame([(i, 3000, bytearray(m.tobytes())) for i, m in enumerate(maps)], "fp long, n int, parity binary")
+        assert shingles._possible(spark.createDataFrame([(0, 1)], "a long, b long"), facts, residues).count() == kept
