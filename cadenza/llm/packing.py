@@ -32,7 +32,7 @@ from cadenza.llm.workspace import Workspace
 CAPACITY = 2048
 END_ID = 0
 #: Bytes of text encoded at once: less than elsewhere, as the pipeline's executors hold more beside it.
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
