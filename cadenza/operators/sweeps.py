@@ -77,13 +77,11 @@ def corpus_scores(films: DataFrame, reference: DataFrame, predicted: DataFrame,
     without an id or either list are skipped by the joins.
     """
     known = films.select(*keys).where(" and ".join(f"`{k}` is not null" for k in keys)).distinct()
-    ref, own = reference.join(known, keys, "left_semi").select(*keys, time), predicted.join(known, keys, "left_semi").select(*keys, time)
-    both = ref.select(*keys).distinct().join(own.select(*keys).distinct(), keys)
-    synced = align.synchronise(ref, own, keys, time, tol)
-    moved = ref.join(synced.select(*keys, "scale", "offset"), keys).select(*keys, timecode.affine(time, F.col("scale"), F.col("offset")).alias(time)).where(F.col(time) >= 0)
-    scored = matching.scores(matching.greedy_match(own, moved, keys, time, tol), own, moved, keys)
-    sizes = synced.select(*keys, F.col("ref_cuts").alias("ref"), F.col("your_cuts").alias("pred"), F.col("match_rate").alias("sync_rate"), "scale", "offset")
-    return both.join(scored.select(*keys, "precision", "recall", "f1"), keys).join(sizes, keys)
+    synced = align.synchronised(align.paired(reference, predicted, keys, time).join(known, keys, "left_semi"), keys, tol)
+    moved = F.filter(F.transform("_r", lambda t: timecode.affine(t, F.col("scale"), F.col("offset"))), lambda t: t >= 0)
+    scored = matching.matched_lists(synced.withColumn("_r", moved), "_m", "_r", tol)
+    figures = matching.ratios(F.col("tp"), F.col("your_cuts"), F.size("_r"))
+    return scored.select(*keys, *figures, F.col("ref_cuts").alias("ref"), F.col("your_cuts").alias("pred"), F.col("match_rate").alias("sync_rate"), "scale", "offset")
 
 
 def side_by_side(lists: dict[str, DataFrame], truth: DataFrame, keys: list[str], time: str, tol: int | float) -> DataFrame:
