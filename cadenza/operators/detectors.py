@@ -57,14 +57,17 @@ def detect_spikes(scores: DataFrame, keys: list[str], step: str = "i", score: st
     return spike_events(series.spikes(scores, keys, step, score, radius, ratio, floor), keys, step, "spike", fps)
 
 
-def detect_net(probs: DataFrame, keys: list[str], step: str = "frame", single: str = "single", allf: str = "allf", fps: float = 24.0, threshold: float = 0.4, height: float = 0.35, min_gap_s: float = 0.4, strobe_guard: bool = True) -> DataFrame:
-    """The two-stream detector: scene starts of one stream, and peaks of the other that are not near what is accepted. Height zero turns the peaks off."""
+def detect_net(probs: DataFrame, keys: list[str], step: str = "frame", single: str = "single", allf: str = "allf", fps: float = 24.0, threshold: float = 0.4, height: float = 0.35, min_gap_s: float = 0.4, strobe_guard: bool = True, before: float | None = None) -> DataFrame:
+    """The two-stream detector: scene starts of one stream, and peaks of the other that are not near what is accepted. Height zero turns the peaks off.
+
+    With ``before``, that probability stands before the first step, which can then be a peak.
+    """
     base = probs.select(*keys, F.col(step).alias("frame"), F.col(single).alias("single"), F.col(allf).alias("allf"))
     peaked = series.trailing_peak(base, keys, "frame", "single", 5, "prob")
     hard = series.scene_starts(peaked, keys, "frame", "single", threshold).select(*keys, "frame", "prob")
     gap = max(1, int(min_gap_s * fps))
     if height > 0:
-        centres = folds.exclude_growing(series.local_maxima(base, keys, "frame", "allf", height, gap).select(*keys, "frame"), hard, keys, "frame", gap)
+        centres = folds.exclude_growing(series.local_maxima(base, keys, "frame", "allf", height, gap, before).select(*keys, "frame"), hard, keys, "frame", gap)
         bounds = series.spans(base, keys, "frame", "allf", height)
         gradual = centres.join(bounds, [*keys, "frame"]).select(*keys, "frame", F.col("allf").alias("prob"), F.col("span_lo").alias("lo"), F.col("span_hi").alias("hi"))
     else:

@@ -40,10 +40,13 @@ def spikes(df: DataFrame, keys: list[str], order: str, value: str, radius: int =
     return thin(adaptive_spikes(df, keys, order, value, radius, ratio, floor), keys, order, gap, [value, "spike"])
 
 
-def local_maxima(df: DataFrame, keys: list[str], order: str, value: str, height: float, gap: int = 1) -> DataFrame:
-    """Inner steps at ``height`` or above, not below the step before and above the one after, ``gap`` apart. Of a plateau the last step counts."""
+def local_maxima(df: DataFrame, keys: list[str], order: str, value: str, height: float, gap: int = 1, before: float | None = None) -> DataFrame:
+    """Inner steps at ``height`` or above, not below the step before and above the one after, ``gap`` apart. Of a plateau the last step counts.
+
+    With ``before``, that value stands before the first step, which can then count too.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    near = df.withColumn("_b", F.lag(value).over(w)).withColumn("_a", F.lead(value).over(w))
+    near = df.withColumn("_b", F.lag(value, 1, before).over(w)).withColumn("_a", F.lead(value).over(w))
     found = near.where((F.col(value) >= height) & (F.col(value) >= F.col("_b")) & (F.col(value) > F.col("_a"))).drop("_b", "_a")
     return thin(found, keys, order, gap, [value])
 
